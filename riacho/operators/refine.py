@@ -1,0 +1,107 @@
+"""Duplicates hidden by formatting: progressive partition refinement.
+
+Rows are split into classes by cheap invariants first (number of letters and digits, then a fingerprint of the letter
+histogram); the costly canonical key is computed only for rows whose class still has several members. Everything is
+built-in Spark expressions; no class is ever gathered in one task.
+"""
+
+from __future__ import annotations
+
+import unicodedata
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from riacho.scale import SALTS, count_classes, salt_of
+
+#: Invisible characters: format, control and other code points without a glyph.
+INVISIBLE = r"[\p{Cf}\p{Cc}\p{Co}\p{Cn}&&[^\t\n\x0B\f\r\x1c-\x1f\x85]]"
+#: What may stand between the contents of two equal fields: white space, punctuation and the ASCII signs used as such.
+IGNORED = r"[\p{P}\p{Z}\s\x1c-\x1f\x85\^~+<=>|`]"
+#: A mark that belongs to a number: between two digits, a sign right before, a percent sign right after.
+NUMBER_MARK = r"(?<=\p{Nd})[\p{P}\p{S}](?=\p{Nd})|(?<=\p{Nd})[%‰٪％]|(?<![\p{L}\p{N}])[-+−±](?=\p{Nd})"
+
+
+def _composed() -> dict[str, str]:
+    """Letter followed by a combining mark -> the single letter, from Unicode's composition rule."""
+    out = {}
+    for mark in "̧̀́̂̃̈̊̌":
+        for base in "aceinorsuyz":
+            both = unicodedata.normalize("NFC", base + mark)
+            if len(both) == 1:
+                out[base + mark] = both
+    return out
+
+
+def fold(c: Column) -> Column:
+    """Case-folded text without invisible characters; letters with combining accents composed."""
+    low = F.regexp_replace(F.lower(F.upper(F.regexp_replace(c, INVISIBLE, ""))), "ς", "σ")
+    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _composed().items()))
+    joined = F.aggregate(pairs, low, lambda x, p: F.replace(x, p["a"], p["b"]))
+    return F.when(low.rlike(r"\p{M}"), joined).otherwise(low)
+
+
+def content(c: Column) -> Column:
+    """What is left of a field when case, white space and punctuation are ignored; marks of numbers stay."""
+    return F.regexp_replace(fold(c), f"({NUMBER_MARK})|{IGNORED}", "$1")
+
+
+def sorted_fields(c: Column) -> Column:
+    """Contents of the fields that ``|`` separates, sorted, empty ones dropped, each closed by U+0001."""
+    parts = F.filter(F.transform(F.split(c, r"\|"), content), lambda x: x != "")
+    return F.array_join(F.array_sort(parts), "\x01")
+
+
+def with_canonical_key(rows: DataFrame, left: str, right: str, name: str) -> DataFrame:
+    """Adds the key that is equal for two rows that differ only in form; the order of the two columns does not count."""
+    rows = rows.withColumn("_a", sorted_fields(F.col(left))).withColumn("_b", sorted_fields(F.col(right)))
+    return rows.withColumn(name, F.sha2(F.concat_ws("\x02", F.least("_a", "_b"), F.greatest("_a", "_b")), 256)).drop("_a", "_b")
+
+
+def is_blank(c: Column) -> Column:
+    return F.coalesce(F.regexp_replace(c, r"[\p{Z}\p{C}\s]", "") == "", F.lit(True))
+
+
+def _classes_of_several(rows: DataFrame, key: list[str], unique: str, salts: int) -> DataFrame:
+    """``rows`` whose class has several members, with its size ``n`` and smallest member ``first``."""
+    classes = count_classes(rows, key, unique, salts).filter("n > 1")
+    salted = rows.withColumn("salt", salt_of(F.col(unique), salts))
+    return salted.join(classes, [*key, "salt"]).drop("salt")
+
+
+def refine(df: DataFrame, row_id: str, left: str, right: str, salts: int = SALTS) -> DataFrame:
+    """(row_id, kept_id, n_copies) of every row that has at least one copy.
+
+    ``kept_id`` is the smallest ``row_id`` of the record, ``n_copies`` the number of its rows.
+    Rows with a null or blank field, or without id, never are copies. Repeated rows with one id count as copies with
+    that id. Extra columns are ignored; an empty table gives an empty result.
+    """
+    rows = df.select(F.col(row_id).alias("_id"), F.col(left).alias("_l"), F.col(right).alias("_r")).filter(
+        F.col("_id").isNotNull() & ~is_blank(F.col("_l")) & ~is_blank(F.col("_r"))
+    )
+    letters = F.regexp_replace(F.lower(F.upper(F.concat("_l", "_r"))), r"[^\p{L}\p{Nd}]", "")
+    rows = rows.withColumn("_x", letters)
+    # Letters in code point order are the histogram; the fingerprint also covers the length.
+    rows = rows.withColumn("_len", F.length("_x")).withColumn("_hist", F.xxhash64(F.array_sort(F.split("_x", "")))).drop("_x")
+    alike = _classes_of_several(rows, ["_len", "_hist"], "_id", salts).select("_id", "_l", "_r")
+    keyed = with_canonical_key(alike, "_l", "_r", "_key").select("_id", "_key")
+    same = _classes_of_several(keyed, ["_key"], "_id", salts)
+    return same.select(F.col("_id").alias(row_id), F.col("first").alias("kept_id"), F.col("n").alias("n_copies"))
+
+
+def collapse(df: DataFrame, row_id: str, left: str, right: str, salts: int = SALTS) -> DataFrame:
+    """One row per record of ``df``, all its columns kept, with ``n_copies``; rows that are no cases stay as they are.
+
+    The survivor is the row with the smallest id. Rows without id stay, with one copy.
+    """
+    found = refine(df, row_id, left, right, salts)
+    dropped = found.filter(F.col(row_id) != F.col("kept_id")).select(F.col(row_id).alias("_gone"))
+    sizes = found.filter(F.col(row_id) == F.col("kept_id")).select(F.col(row_id).alias("_kept"), F.col("n_copies").alias("_n")).distinct()
+    out = df.drop("n_copies").join(dropped, F.col(row_id) == F.col("_gone"), "left_anti")
+    return out.join(sizes, F.col(row_id) == F.col("_kept"), "left").withColumn("n_copies", F.coalesce("_n", F.lit(1))).drop("_kept", "_n")
+
+
+def copies(df: DataFrame, row_id: str = "row_id", left: str = "source", right: str = "dataset", salts: int = SALTS) -> DataFrame:
+    """(kept_id, copy_id): each further row of a record beside its smallest row."""
+    found = refine(df, row_id, left, right, salts)
+    return found.filter(F.col(row_id) != F.col("kept_id")).select("kept_id", F.col(row_id).alias("copy_id"))
