@@ -130,7 +130,7 @@ def parse_records(record: Column, n_fields: int = len(INDEX_COLUMNS), delimiter:
             columns=[f.name for f in PARSED],
         )
 
-    return parse(record)
+    return parse.asNondeterministic()(record)  # else a filter on the result would parse twice
 
 
 def blank_trim(c: Column) -> Column:
