@@ -29,13 +29,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` materialised, marked for broadcast only if it proves to have at most ``max_rows`` rows.
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """``df`` materialised, and whether it may be broadcast: it then has at most ``max_rows`` rows and bears the hint.
 
-    A larger one comes back without the hint, so that joins on it shuffle.
+    A larger one comes back without the hint; the caller shuffles, and salts if a key can be hot.
     """
     kept = materialize(df)
-    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
+    small = kept.limit(max_rows + 1).count() <= max_rows
+    return (F.broadcast(kept) if small else kept), small
 
 
 def salt_of(unique: Column, salts: int = SALTS) -> Column:
