@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
-from riacho.llm import encode
+from riacho.llm import budget, encode, leak
 from riacho.sources.tables import table
 
 
+def p6_budget(spark, folder):
+    return budget.corpus_budget(table(spark, folder, "documents"))
+
+
+def p6_labelled(spark, folder):
+    return budget.labelled_budget(table(spark, folder, "clean"))
+
+
+def p6_documents(spark, folder):
+    return budget.document_tokens(table(spark, folder, "documents"))
+
+
 def p7_ids(spark, folder):
     return encode.encode(table(spark, folder, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids}
+def p8_found(spark, folder):
+    return leak.leaked_pairs(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def p8_spans(spark, folder):
+    return leak.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+QUERIES = {"p6_budget": p6_budget, "p6_labelled": p6_labelled, "p6_documents": p6_documents, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans}
 ORACLES: dict[str, str] = {}
