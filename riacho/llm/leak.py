@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riacho.llm import pieces
+from riacho.llm.suffix import suffix_array
 
 #: Consecutive words that count as a leak.
 LEAST_WORDS = 12
@@ -102,26 +103,6 @@ class WaveletMatrix:
         return c, at - begin
 
 
-def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Suffixes in order; each 0 is a separator of its own, so that no comparison passes one. Prefix doubling."""
-    n = len(symbols)
-    seps = symbols == 0
-    rank = np.where(seps, np.cumsum(seps) - 1, symbols.astype(np.int64) + int(seps.sum()))
-    order = np.argsort(rank, kind="stable")
-    step = 1
-    while True:
-        key = rank[order]
-        fresh = np.concatenate([[False], key[1:] != key[:-1]])
-        dense = np.empty(n, np.int64)
-        dense[order] = np.cumsum(fresh)
-        if n == 0 or int(dense[order[-1]]) == n - 1:
-            return order
-        ahead = np.concatenate([dense[step:] + 1, np.zeros(min(step, n), np.int64)])[:n]
-        rank = dense * (n + 1) + np.where(seps, 0, ahead)
-        order = np.argsort(rank, kind="stable")
-        step *= 2
-
-
 class FMIndex:
     """Count and locate phrases in a sequence whose 0 are separators (the last symbol must be one)."""
 

@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from riacho.llm import budget, encode, leak
+from pyspark.sql import functions as F
+
+from riacho.llm import boilerplate, budget, encode, leak
 from riacho.sources.tables import table
 
 
+def p2_found(spark, folder):
+    return boilerplate.Boilerplate(table(spark, folder, "documents")).lines()
+
+
+def p2_blocks(spark, folder):
+    blocks = boilerplate.Boilerplate(table(spark, folder, "documents")).blocks
+    return blocks.select("source", F.size("block").alias("n_lines"), F.xxhash64("block").alias("block_id"), "n_docs", "total")
+
+
+def p2_clean(spark, folder):
+    return boilerplate.Boilerplate(table(spark, folder, "documents")).cleaned().select("doc_id", "text")
+
+
 def p6_budget(spark, folder):
     return budget.corpus_budget(table(spark, folder, "documents"))
 
@@ -30,5 +45,5 @@ def p8_spans(spark, folder):
     return leak.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-QUERIES = {"p6_budget": p6_budget, "p6_labelled": p6_labelled, "p6_documents": p6_documents, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans}
+QUERIES = {"p2_found": p2_found, "p2_blocks": p2_blocks, "p2_clean": p2_clean, "p6_budget": p6_budget, "p6_labelled": p6_labelled, "p6_documents": p6_documents, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans}
 ORACLES: dict[str, str] = {}
