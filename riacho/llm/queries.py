@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riacho.llm import boilerplate, budget, encode, leak
+from riacho.llm import boilerplate, budget, encode, garble, leak
 from riacho.sources.tables import table
 
 
@@ -21,6 +21,14 @@ def p2_clean(spark, folder):
     return boilerplate.Boilerplate(table(spark, folder, "documents")).cleaned().select("doc_id", "text")
 
 
+def p4_found(spark, folder):
+    return garble.garbled_rows(table(spark, folder, "ipe"), table(spark, folder, "documents")).select("table_name", "row_id")
+
+
+def p4_restored(spark, folder):
+    return garble.garbled_rows(table(spark, folder, "ipe"), table(spark, folder, "documents"))
+
+
 def p6_budget(spark, folder):
     return budget.corpus_budget(table(spark, folder, "documents"))
 
@@ -45,5 +53,5 @@ def p8_spans(spark, folder):
     return leak.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_blocks": p2_blocks, "p2_clean": p2_clean, "p6_budget": p6_budget, "p6_labelled": p6_labelled, "p6_documents": p6_documents, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans}
+QUERIES = {"p2_found": p2_found, "p2_blocks": p2_blocks, "p2_clean": p2_clean, "p4_found": p4_found, "p4_restored": p4_restored, "p6_budget": p6_budget, "p6_labelled": p6_labelled, "p6_documents": p6_documents, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans}
 ORACLES: dict[str, str] = {}
