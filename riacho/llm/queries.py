@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riacho.llm import boilerplate, budget, encode, garble, leak
+from riacho.llm import abuse, boilerplate, budget, encode, garble, leak
 from riacho.sources.tables import table
 
 
@@ -53,5 +53,17 @@ def p8_spans(spark, folder):
     return leak.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_blocks": p2_blocks, "p2_clean": p2_clean, "p4_found": p4_found, "p4_restored": p4_restored, "p6_budget": p6_budget, "p6_labelled": p6_labelled, "p6_documents": p6_documents, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans}
+def p9_found(spark, folder):
+    return abuse.toxic_documents(table(spark, folder, "documents"), table(spark, folder, "labels")).select("doc_id")
+
+
+def p9_scores(spark, folder):
+    return abuse.scored_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def p9_rates(spark, folder):
+    return abuse.rates(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+QUERIES = {"p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p2_found": p2_found, "p2_blocks": p2_blocks, "p2_clean": p2_clean, "p4_found": p4_found, "p4_restored": p4_restored, "p6_budget": p6_budget, "p6_labelled": p6_labelled, "p6_documents": p6_documents, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans}
 ORACLES: dict[str, str] = {}
