@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riacho.llm import abuse, boilerplate, budget, encode, garble, leak
+from riacho.llm import abuse, boilerplate, budget, encode, garble, leak, scans
 from riacho.sources.tables import table
 
 
@@ -21,6 +21,19 @@ def p2_clean(spark, folder):
     return boilerplate.Boilerplate(table(spark, folder, "documents")).cleaned().select("doc_id", "text")
 
 
+def p3_found(spark, folder):
+    return scans.ScannedPages(table(spark, folder, "documents")).findings()
+
+
+def p3_paragraphs(spark, folder):
+    return scans.ScannedPages(table(spark, folder, "documents")).paragraphs()
+
+
+def p3_corrections(spark, folder):
+    found = scans.ScannedPages(table(spark, folder, "documents")).fixes
+    return found.groupBy("word", "right").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 def p4_found(spark, folder):
     return garble.garbled_rows(table(spark, folder, "ipe"), table(spark, folder, "documents")).select("table_name", "row_id")
 
@@ -65,5 +78,5 @@ def p9_rates(spark, folder):
     return abuse.rates(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p2_found": p2_found, "p2_blocks": p2_blocks, "p2_clean": p2_clean, "p4_found": p4_found, "p4_restored": p4_restored, "p6_budget": p6_budget, "p6_labelled": p6_labelled, "p6_documents": p6_documents, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans}
+QUERIES = {"p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p3_corrections": p3_corrections, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p2_found": p2_found, "p2_blocks": p2_blocks, "p2_clean": p2_clean, "p4_found": p4_found, "p4_restored": p4_restored, "p6_budget": p6_budget, "p6_labelled": p6_labelled, "p6_documents": p6_documents, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans}
 ORACLES: dict[str, str] = {}
