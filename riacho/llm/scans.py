@@ -23,11 +23,11 @@ from riacho.scale import checked_broadcast, materialize
 # What a scanner reads -> what is printed.
 CONFUSIONS = {
     "@": "a", "0": "o", "1": "l", "5": "s", "6": "b", "8": "b", "9": "g", "3": "e", "!": "l", "|": "l", "$": "s",
-    "l": "i", "i": "l", "c": "e", "e": "c", "f": "t", "t": "f", "q": "g", "g": "q", "rn": "m", "m": "rn", "cl": "d", "d": "cl",
+    "l": "i", "i": "l", "c": "e", "e": "c", "f": "t", "q": "g", "g": "q", "rn": "m", "m": "rn", "cl": "d", "d": "cl",
     "ii": "u", "u": "ii", "li": "h", "h": "li", "vv": "w", "ri": "n", "n": "ri", "à": "ã", "ã": "à", "á": "â", "è": "é", "ò": "õ", "ö": "õ",
-    "ì": "í", "ù": "ú", "ç,": "ç", "nn": "m", "v": "y", "o": "c", "b": "h", "tl": "d", "1n": "m",
+    "ì": "í", "ù": "ú", "ç,": "ç", "nn": "m", "v": "y", "o": "c", "b": "h", "tl": "d", "1n": "m", "ci": "d", "t": "r",
 }
-_MORE = {"1": ("i",), "l": ("t",), "0": ("ó", "õ", "ô"), "i": ("í",), "c": ("ç", "o"), "a": ("ã", "á", "à"), "o": ("ó", "õ")}
+_MORE = {"1": ("i",), "l": ("t",), "0": ("ó", "õ", "ô"), "i": ("í",), "6": ("ó",), "t": ("f",), "r": ("t",), "c": ("ç", "o"), "a": ("ã", "á", "à"), "o": ("ó", "õ")}
 HYPHENS = "-­‐¬"
 #: How much more frequent a variant must be than a rare word; less is asked where a sign or digit stands among letters.
 RATIO, RATIO_SIGN = 12, 2
