@@ -1,9 +1,9 @@
 """Named queries of the engine over the test tables, with the SQL they are checked against."""
 
-from riacho.plans import problems
+from riacho.plans import corpus, problems
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (problems,):
+for _part in (problems, corpus):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows a side may have to be broadcast; beyond it the join shuffles.
@@ -56,3 +56,24 @@ def count_classes(rows: DataFrame, key: list[str], unique: str, salts: int = SAL
         F.sum("n_part").alias("n"), F.min("first_part").alias("first"), F.collect_list("salt").alias("at")
     )  # at: no more than ``salts`` values
     return whole.select(*key, "n", "first", F.explode("at").alias("salt"))
+
+
+def running(df: DataFrame, order: list[Column], value: Column | None = None, name: str = "position") -> DataFrame:
+    """``df`` with a running total of ``value`` (or, without one, the row number from 0) in ``order``.
+
+    Rows are range-partitioned by ``order``; only one subtotal per partition reaches the driver, so no single task sees
+    all rows. ``order`` has to be total. The total includes the row itself.
+    """
+    each = F.lit(1).cast("long") if value is None else value
+    parts = materialize(df.repartitionByRange(*order).withColumn("_v", each).withColumn("_p", F.spark_partition_id()))
+    subtotals = sorted((r._p, r.s) for r in parts.groupBy("_p").agg(F.sum("_v").alias("s")).collect())
+    before, offsets = 0, []
+    for p, s in subtotals:
+        offsets.append((p, before))
+        before += s or 0
+    kind = parts.schema["_v"].dataType.simpleString()
+    kind = "double" if kind in ("double", "float") else "bigint"
+    start = F.broadcast(df.sparkSession.createDataFrame(offsets, f"_p int, _start {kind}"))
+    local = F.sum("_v").over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    total = F.col("_start") + local - (F.lit(1) if value is None else F.lit(0))
+    return parts.join(start, "_p").withColumn(name, total).drop("_v", "_p", "_start")
