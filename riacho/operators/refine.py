@@ -35,7 +35,8 @@ def _composed() -> dict[str, str]:
 
 def fold(c: Column) -> Column:
     """Case-folded text without invisible characters; letters with combining accents composed."""
-    low = F.regexp_replace(F.lower(F.upper(F.regexp_replace(c, INVISIBLE, ""))), "ς", "σ")
+    low = F.lower(F.upper(F.regexp_replace(c, INVISIBLE, "")))
+    low = F.replace(F.replace(low, F.lit("ς"), F.lit("σ")), F.lit("ß"), F.lit("ss"))
     pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _composed().items()))
     joined = F.aggregate(pairs, low, lambda x, p: F.replace(x, p["a"], p["b"]))
     return F.when(low.rlike(r"\p{M}"), joined).otherwise(low)
@@ -79,7 +80,7 @@ def refine(df: DataFrame, row_id: str, left: str, right: str, salts: int = SALTS
     rows = df.select(F.col(row_id).alias("_id"), F.col(left).alias("_l"), F.col(right).alias("_r")).filter(
         F.col("_id").isNotNull() & ~is_blank(F.col("_l")) & ~is_blank(F.col("_r"))
     )
-    letters = F.regexp_replace(F.lower(F.upper(F.concat("_l", "_r"))), r"[^\p{L}\p{Nd}]", "")
+    letters = F.regexp_replace(fold(F.concat("_l", F.lit("\n"), "_r")), r"[^\p{L}\p{Nd}]", "")
     rows = rows.withColumn("_x", letters)
     # Letters in code point order are the histogram; the fingerprint also covers the length.
     rows = rows.withColumn("_len", F.length("_x")).withColumn("_hist", F.xxhash64(F.array_sort(F.split("_x", "")))).drop("_x")

@@ -213,9 +213,9 @@ def common_universe(spark, folder):
     return n.intersect(s).intersect(c)
 
 
-@query("SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > 1000 AND ends_with(p_brand, '3')")
+@query("SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > 950 AND ends_with(p_brand, '3')")
 def universe(spark, folder):
-    return table(spark, folder, "part").filter((F.col("p_retailprice") > 1000) & F.col("p_brand").endswith("3")).select("p_partkey", "p_retailprice")
+    return table(spark, folder, "part").filter((F.col("p_retailprice") > 950) & F.col("p_brand").endswith("3")).select("p_partkey", "p_retailprice")
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
