@@ -148,7 +148,7 @@ def human_bytes(c: Column) -> Column:
     """Size in B, KB, MB, GB or TB with one decimal."""
     out = F.lit(None).cast("string")
     for power, unit in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
-        value = F.format_string("%.1f " + unit, c / F.lit(1024.0**power))
+        value = F.format_string("%.1f " + unit, F.round(c / F.lit(1024.0**power), 1))
         out = F.when((c >= 1024**power) & ((c < 1024 ** (power + 1)) | F.lit(power == 4)), value).otherwise(out)
     return F.when(c < 1, F.format_string("%.1f B", c.cast("double"))).otherwise(out)
 

@@ -98,3 +98,28 @@ def centroid_probe(df: DataFrame, key: str, vector: str, label: str, train: str)
 
 def union_of(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def with_model(df: DataFrame, text: str, call, name: str = "output", kind: str = "string", batch: int = 8) -> DataFrame:
+    """``df`` with the answer of a model to each text, and the milliseconds per text of its batch.
+
+    ``call`` maps a list of texts to a list of answers; it travels to the workers, so it must be picklable. Null texts are
+    not asked.
+    """
+    import time
+
+    def run(frames):
+        for frame in frames:
+            answers, took = [None] * len(frame), [None] * len(frame)
+            asked = [i for i, t in enumerate(frame[text]) if isinstance(t, str)]
+            for k in range(0, len(asked), batch):
+                part = asked[k : k + batch]
+                began = time.perf_counter()
+                out = call([frame[text].iloc[i] for i in part])
+                each = (time.perf_counter() - began) * 1000 / len(part)
+                for i, a in zip(part, out, strict=True):
+                    answers[i], took[i] = a, each
+            yield frame.assign(**{name: answers, "ms": took})
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{name}` {kind}", "ms double"])
+    return df.mapInPandas(run, schema)

@@ -225,3 +225,65 @@ def dsir_subset(spark, folder):
     """Texts of the selection in the order of selection: ids are scored first, texts fetched last."""
     order = _selected(spark, folder).select("doc_id", "score")
     return docs(spark, folder).join(order, "doc_id").orderBy(F.desc("score"), "doc_id").select("doc_id", "text")
+
+
+_thought = "'<think>' || substring(text, 1, 30) || '</think>' || text"
+_after = f"list_extract(string_split({_thought}, '</think>'), -1)"
+_answer = S.strip(f"regexp_replace({_after}, '(?is)<think>.*$', '', 'g')")
+_cut = S.strip("list_extract(string_split_regex(a, '\\n[ \\t]*\\n|Question:'), 1)")
+_lone = "length(b) - length(replace(b, '\"', '')) = 1 AND ends_with(b, '\"')"
+
+
+@query(f"SELECT doc_id, CASE WHEN {_lone} THEN {S.strip(chr(34).join(('regexp_replace(b, ' + chr(39), '$' + chr(39) + ', ' + chr(39) * 2 + ')')))} ELSE b END AS answer FROM (SELECT doc_id, {_cut} AS b FROM (SELECT doc_id, {_answer} AS a FROM documents WHERE text IS NOT NULL))")
+def answer_clean(spark, folder):
+    """Model answers with their thoughts; here each text is an answer that thinks of its own beginning."""
+    raw = F.concat(F.lit("<think>"), F.substring("text", 1, 30), F.lit("</think>"), F.col("text"))
+    return docs(spark, folder).filter("text is not null").select("doc_id", T.clean_answer(raw).alias("answer"))
+
+
+_marked = "'<w:p>' || replace(text, chr(10), '</w:p><w:p a=\"1\">') || '</w:p>'"
+
+
+@query("SELECT doc_id, " + S.strip(f"replace(replace(replace(replace(regexp_replace(replace({_marked}, '</w:p>', chr(10) || chr(10)), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')") + " AS text FROM documents WHERE text IS NOT NULL")
+def tag_strip(spark, folder):
+    """Text of marked-up paragraphs; here each line of a text is one."""
+    raw = F.concat(F.lit("<w:p>"), F.replace("text", F.lit("\n"), F.lit('</w:p><w:p a="1">')), F.lit("</w:p>"))
+    return docs(spark, folder).filter("text is not null").select("doc_id", T.strip_tags(raw).alias("text"))
+
+
+WORDS = {"cresceu": 2, "avançou": 2, "subiu": 2, "estável": 1, "caiu": 0, "recuou": 0, "encolheu": 0}
+
+
+@query("SELECT row_id, CASE regexp_extract(lower(source), '(" + "|".join(sorted(WORDS, key=lambda w: (-len(w), w))) + ")', 1) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WORDS.items()) + " END AS class FROM clean WHERE source IS NOT NULL")
+def label_parse(spark, folder):
+    from riacho.operators import evaluate
+
+    return table(spark, folder, "clean").filter("source is not null").select("row_id", evaluate.parsed_label(F.col("source"), WORDS).alias("class"))
+
+
+@query(f"SELECT ipe_id FROM ipe i WHERE year(loaded_at) >= 2020 AND NOT EXISTS (SELECT 1 FROM ipe d WHERE year(d.loaded_at) < 2020 AND {_ipe_key.replace('(link', '(d.link').replace('(cnpj', '(d.cnpj').replace('(data_', '(d.data_').replace('(assunto', '(d.assunto')} = {_ipe_key.replace('(link', '(i.link').replace('(cnpj', '(i.cnpj').replace('(data_', '(i.data_').replace('(assunto', '(i.assunto')})")
+def resume(spark, folder):
+    """Index rows left to do: those loaded since 2020 whose key was not finished before."""
+    ipe = table(spark, folder, "ipe")
+    key = T.composite_key(*(F.col(c) for c in ("link_download", "cnpj_companhia", "data_referencia", "assunto")))
+    return dedup.without(ipe.filter(F.year("loaded_at") >= 2020), key, ipe.filter(F.year("loaded_at") < 2020), key).select("ipe_id")
+
+
+_digits = S.digits_padded
+
+
+@query(f"""WITH r AS (SELECT DISTINCT {_digits('cnpj_cia')} AS c FROM registry WHERE cnpj_cia IS NOT NULL), s AS (SELECT DISTINCT {_digits('cnpj_companhia')} AS c FROM securities WHERE cnpj_companhia IS NOT NULL)
+    SELECT c AS cnpj, 'both' AS side FROM r WHERE c IN (FROM s) UNION ALL SELECT c, 'registry' FROM r WHERE c NOT IN (FROM s) UNION ALL SELECT c, 'securities' FROM s WHERE c NOT IN (FROM r)""")
+def set_overlap(spark, folder):
+    """Companies in both sets, and the orphans of each."""
+    r = table(spark, folder, "registry").filter("cnpj_cia is not null").select(T.digits_padded(F.col("cnpj_cia")).alias("cnpj")).distinct()
+    s = table(spark, folder, "securities").filter("cnpj_companhia is not null").select(T.digits_padded(F.col("cnpj_companhia")).alias("cnpj")).distinct()
+    sides = ((r.intersect(s), "both"), (r.exceptAll(s), "registry"), (s.exceptAll(r), "securities"))
+    from riacho.operators.evaluate import union_of
+
+    return union_of([df.withColumn("side", F.lit(name)) for df, name in sides])
+
+
+@query("SELECT doc_id, CASE WHEN n < 1024 THEN printf('%.1f B', n / 1.0) WHEN n < 1048576 THEN printf('%.1f KB', round(n / 1024.0, 1)) ELSE printf('%.1f MB', round(n / 1048576.0, 1)) END AS size FROM (SELECT doc_id, octet_length(encode(text)) AS n FROM documents WHERE text IS NOT NULL)")
+def readable_sizes(spark, folder):
+    return docs(spark, folder).filter("text is not null").select("doc_id", T.human_bytes(F.octet_length("text")).alias("size"))

@@ -219,6 +219,12 @@ def test_parsed_labels(spark):
     assert got == [(2, 2), (None, 0), (None, 1)]
 
 
+def test_models_are_called_in_batches(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "bc")], "id int, t string")
+    got = {r.id: (r.n, r.ms is not None) for r in evaluate.with_model(df, "t", lambda texts: [len(t) for t in texts], "n", "int", 2).collect()}
+    assert got == {1: (1, True), 2: (None, False), 3: (2, True)}
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.floats(-1, 1), min_size=2, max_size=8))
 def test_projection_meets_its_bounds(w):
