@@ -33,13 +33,26 @@ def _composed() -> dict[str, str]:
     return out
 
 
+def _small(c: Column) -> Column:
+    """Letter case ignored: sharp s and final sigma included."""
+    return F.replace(F.replace(F.lower(F.upper(c)), F.lit("ς"), F.lit("σ")), F.lit("ß"), F.lit("ss"))
+
+
+def _compose(c: Column) -> Column:
+    """Letters with combining accents as single letters; texts without such marks are not touched."""
+    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _composed().items()))
+    return F.when(c.rlike(r"\p{M}"), F.aggregate(pairs, c, lambda x, p: F.replace(x, p["a"], p["b"]))).otherwise(c)
+
+
 def fold(c: Column) -> Column:
     """Case-folded text without invisible characters; letters with combining accents composed."""
-    low = F.lower(F.upper(F.regexp_replace(c, INVISIBLE, "")))
-    low = F.replace(F.replace(low, F.lit("ς"), F.lit("σ")), F.lit("ß"), F.lit("ss"))
-    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _composed().items()))
-    joined = F.aggregate(pairs, low, lambda x, p: F.replace(x, p["a"], p["b"]))
-    return F.when(low.rlike(r"\p{M}"), joined).otherwise(low)
+    return _compose(_small(F.regexp_replace(c, INVISIBLE, "")))
+
+
+def letters(c: Column) -> Column:
+    """Letters and digits of a text, folded: what the cheap invariants see."""
+    kept = F.regexp_replace(_small(c), r"[^\p{L}\p{Nd}\p{M}]+", "")
+    return F.when(kept.rlike(r"\p{M}"), F.regexp_replace(_compose(kept), r"\p{M}", "")).otherwise(kept)
 
 
 def content(c: Column) -> Column:
@@ -80,8 +93,7 @@ def refine(df: DataFrame, row_id: str, left: str, right: str, salts: int = SALTS
     rows = df.select(F.col(row_id).alias("_id"), F.col(left).alias("_l"), F.col(right).alias("_r")).filter(
         F.col("_id").isNotNull() & ~is_blank(F.col("_l")) & ~is_blank(F.col("_r"))
     )
-    letters = F.regexp_replace(fold(F.concat("_l", F.lit("\n"), "_r")), r"[^\p{L}\p{Nd}]", "")
-    rows = rows.withColumn("_x", letters)
+    rows = rows.withColumn("_x", letters(F.concat("_l", "_r")))
     # Letters in code point order are the histogram; the fingerprint also covers the length.
     rows = rows.withColumn("_len", F.length("_x")).withColumn("_hist", F.xxhash64(F.array_sort(F.split("_x", "")))).drop("_x")
     alike = _classes_of_several(rows, ["_len", "_hist"], "_id", salts).select("_id", "_l", "_r")
