@@ -50,9 +50,12 @@ def fold(c: Column) -> Column:
 
 
 def letters(c: Column) -> Column:
-    """Letters and digits of a text, folded: what the cheap invariants see."""
-    kept = F.regexp_replace(_small(c), r"[^\p{L}\p{Nd}\p{M}]+", "")
-    return F.when(kept.rlike(r"\p{M}"), F.regexp_replace(_compose(kept), r"\p{M}", "")).otherwise(kept)
+    """Letters and digits of a text without case and accents: what the cheap invariants see.
+
+    Coarser than the key on purpose: accents, composed or not, never part two rows here.
+    """
+    pairs = _composed()
+    return F.regexp_replace(F.translate(_small(c), "".join(pairs.values()), "".join(k[0] for k in pairs)), r"[^\p{L}\p{Nd}]+", "")
 
 
 def content(c: Column) -> Column:

@@ -153,11 +153,12 @@ _ratio = f"""SELECT r.bucket, ln(((coalesce(target_cnt,0) + 1) / (t + {BUCKETS})
     FROM (SELECT unnest(generate_series(0, {BUCKETS - 1})) AS bucket) r LEFT JOIN b USING (bucket), (SELECT sum(source_cnt) AS s, sum(target_cnt) AS t FROM b)"""
 _raw = f"""SELECT d.doc_id, d.text, coalesce(x.raw, 0.0) AS raw FROM documents d LEFT JOIN (SELECT doc_id, sum(log_ratio) AS raw FROM (SELECT doc_id, {S.md5_bucket('f', BUCKETS)} AS bucket FROM ({_feats})) JOIN r USING (bucket) GROUP BY doc_id) x USING (doc_id)
     WHERE d.text IS NOT NULL"""
-_target = F.lower("lang") == "en"
+def _target():
+    return F.lower("lang") == "en"
 
 
 def _counts(spark, folder):
-    return dsir.bucket_counts(docs(spark, folder), "text", _target, T.md5_bucket, BUCKETS)
+    return dsir.bucket_counts(docs(spark, folder), "text", _target(), T.md5_bucket, BUCKETS)
 
 
 @query(_buckets)
@@ -179,7 +180,7 @@ def dsir_top_buckets(spark, folder):
 
 def _scores(spark, folder):
     d = docs(spark, folder).filter("text is not null")
-    feats = dsir.document_features(d, "doc_id", "text", _target, T.md5_bucket, BUCKETS)
+    feats = dsir.document_features(d, "doc_id", "text", _target(), T.md5_bucket, BUCKETS)
     return dsir.importance(feats, dsir.log_ratios(_counts(spark, folder), BUCKETS), d, "doc_id")
 
 
