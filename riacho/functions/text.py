@@ -68,14 +68,13 @@ def chunks(c: Column, size: int = 8192, overlap: int = 200) -> Column:
     def state(cur: Column, out: Column) -> Column:
         return F.struct(cur.alias("cur"), out.alias("out"))
 
-    def add(acc: Column, raw: Column) -> Column:
-        p, cur, out = strip(raw), acc["cur"], acc["out"]
-        blank = strip(cur) == ""
+    def add(acc: Column, p: Column) -> Column:
+        cur, out = acc["cur"], acc["out"]
+        blank = ~cur.rlike(WS.replace("[", "[^", 1))
         carried = F.concat(F.right(cur, F.lit(overlap)), F.lit("\n\n"), p) if overlap else p
         handed = F.when(F.length(cur) > overlap, carried).otherwise(p)
         return (
-            F.when(p == "", acc)
-            .when(F.length(p) > size, state(F.when(blank, cur).otherwise(F.lit("")), F.concat(out, F.when(blank, empty).otherwise(F.array(strip(cur))), windows(p, size, size - overlap))))
+            F.when(F.length(p) > size, state(F.when(blank, cur).otherwise(F.lit("")), F.concat(out, F.when(blank, empty).otherwise(F.array(strip(cur))), windows(p, size, size - overlap))))
             .when((cur != "") & (F.length(cur) + F.length(p) + 2 > size), state(handed, F.concat(out, F.array(cur))))
             .otherwise(state(F.when(cur == "", p).otherwise(F.concat(cur, F.lit("\n\n"), p)), out))
         )
@@ -83,7 +82,8 @@ def chunks(c: Column, size: int = 8192, overlap: int = 200) -> Column:
     def end(acc: Column) -> Column:
         return F.when(strip(acc["cur"]) == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(strip(acc["cur"]))))
 
-    packed = F.aggregate(F.split(c, r"\n\s*\n"), start, add, end)
+    paragraphs = F.filter(F.transform(F.split(c, r"\n\s*\n"), strip), lambda p: p != "")  # stripped once, not at each use
+    packed = F.aggregate(paragraphs, start, add, end)
     return F.when(F.length(c) <= size, F.array(c)).otherwise(packed)
 
 
