@@ -131,6 +131,26 @@ def stability_verdict(spark, folder):
     return panel.verdict(_stability(spark, folder))
 
 
+_draw_all = _draw.replace(f"generate_series(0, {DRAWS - 1})", "generate_series(0, 499)")
+_boot_all = _boot.replace(" WHERE e < 8", "").replace(_draw, _draw_all)
+
+
+def _stability_all(spark, folder):
+    """Every nation and the operator's own number of draws."""
+    return panel.bootstrap_pairs(_residuals(spark, folder).select("e", "t", F.round("eps", 9).alias("x")), "e", "t", "x")
+
+
+@query(f"SELECT i, j, round(lo, 5) AS lo, round(hi, 5) AS hi, round(lo, 6) > 0 OR round(hi, 6) < 0 AS stable FROM {_boot_all}")
+def bootstrap_stability_all(spark, folder):
+    return _stability_all(spark, folder).select("i", "j", F.round("lo", 5).alias("lo"), F.round("hi", 5).alias("hi"), "stable")
+
+
+@query(f"""SELECT n_pairs, n_stable, mean_width, CASE WHEN mean_width < 0.5 AND n_stable / n_pairs > 0.3 THEN 'stable' ELSE 'unstable' END AS verdict FROM
+    (SELECT count(*) AS n_pairs, count(*) FILTER (round(lo, 6) > 0 OR round(hi, 6) < 0) AS n_stable, round(avg(hi - lo), 6) AS mean_width FROM {_boot_all})""")
+def stability_verdict_all(spark, folder):
+    return panel.verdict(_stability_all(spark, folder))
+
+
 @query()
 def decorrelated_universe(spark, folder):
     """Greedy choice in score order; order-dependent, so it is tested against a plain loop."""
