@@ -64,12 +64,23 @@ _reason = f"""CASE WHEN coalesce({S.strip('c.source')}, '') = '' THEN 'blank_sou
 def label_join(spark, folder):
     """First label and last score of each text, the last good row per text, unfit rows with their reason."""
     clean = table(spark, folder, "clean")
+    return _joined(clean, clean.filter("row_id % 2 = 0"))
+
+
+def _joined(clean, scored):
     rows = clean.select("row_id", "source", F.coalesce("dataset", "source").alias("translated"))
-    scores = clean.filter("row_id % 2 = 0").select("row_id", "source", (F.length("source") % 10 / 10).alias("score"))
+    scores = scored.select("row_id", "source", (F.length("source") % 10 / 10).alias("score"))
     out = labels.final_merge(rows, clean.select("row_id", "source", "sentiment"), scores, [F.col("row_id")], [F.col("row_id")], [F.col("row_id")])
     return out.select("row_id", "sentiment", "quality", "reason", F.col("first_seen.row_id").alias("first_seen"))
 
 
+@query(ORACLES["label_join"].replace(_last, _last.replace(" AND row_id % 2 = 0", "")))
+def label_join_all(spark, folder):
+    """As ``label_join``, with the scores of all rows."""
+    clean = table(spark, folder, "clean")
+    return _joined(clean, clean)
+
+
 @query("""SELECT event_id, list_sort(list_concat(list_concat(CASE WHEN j ->> '$.k' IS NULL THEN ['missing:k'] ELSE [] END, ['missing:value']), [])) AS faults FROM (SELECT event_id, props AS j FROM events)""")
 def contract_faults(spark, folder):
     return table(spark, folder, "events").select("event_id", labels.contract(F.col("props"), ["k", "value"], ["k"]).alias("faults"))
@@ -203,6 +214,14 @@ def statement_fallback(spark, folder):
     return statements.with_annual(quarterly, lines.select("cnpj", "year").distinct(), "cnpj")
 
 
+@query(ORACLES["statement_fallback"].replace(_q, _q.replace(" AND ascii(substring(cnpj, 5, 1)) % 2 = 0", "")))
+def statement_fallback_all(spark, folder):
+    """As ``statement_fallback``, with the quarters of all companies."""
+    lines = _parsed(spark, folder)
+    quarterly = lines.filter("quarter is not null").select("cnpj", "year", "quarter").distinct()
+    return statements.with_annual(quarterly, lines.select("cnpj", "year").distinct(), "cnpj")
+
+
 @query(f"SELECT count(DISTINCT cnpj) AS n_companies, count(DISTINCT period) AS n_periods, min(period) AS first_period, max(period) AS last_period FROM {_lines}")
 def statement_span(spark, folder):
     return statements.span(_parsed(spark, folder), "cnpj", "period")
