@@ -36,15 +36,41 @@ _RARE = {"ñ": 0.1, "þ": 1.6, "Þ": 2, "ð": 1.2, "Ð": 1.2, "ƒ": 3, "ı": 2,
 #: Letters beyond ASCII of Portuguese and Spanish; others cost a little.
 _USUAL = frozenset("áàâãéêíóôõúüçñÁÀÂÃÉÊÍÓÔÕÚÜÇÑ")
 
-#: A text without any of these needs no search: replacement characters, controls, box drawing, capitals after small
-#: letters, scripts beside Latin letters, and signs that touch letters or other signs from beyond ASCII.
-SUSPECT = (
-    r"[�\u0080-\u009f─-▟þÞðÐƒı√≠≤≥∞∂∑∏∫Ω≈∆◊⁄]"
-    r"|[a-zà-öø-ÿ][À-ÖØ-Þ]"
-    r"|[A-Za-zÀ-ÿ0-9][Ͱ-ԯ]|[Ͱ-ԯ][A-Za-zÀ-ÿ]"
-    r"|[ÂÃâÅÄÐÑ][ -¿‐-⁯€ŒœŠšŽžŸƒˆ˜™]"
-    r"|[A-Za-zÀ-ÿ][¡-©«-¬®-´¶-¹»-¿×÷ßµ][A-Za-zÀ-ÿ]|[A-Za-z][ß¾·]|[0-9]¬"
-)
+#: Signs that may stand before a letter, and that may follow anything.
+_OPEN, _CLOSE = frozenset("¡¿«“‘£€°§•–—©±"), frozenset("¬…”’»—–")
+
+
+def _suspect() -> str:
+    """A pattern (of the JVM) that every text with a stretch of cost 1 or more matches; what it refuses cannot be changed.
+
+    Each alternative is a branch of ``cost``, looked for at characters beyond ASCII that are no usual small letter. Letters
+    that cost little have to meet another one in the same stretch.
+    """
+    some = lambda chars: "[" + "".join(sorted(chars)) + "]"
+    near, far = r"[^\x00-@\[-`{-\x7f]", r"[^\x00-\x7f]"  # letters and all beyond ASCII; beyond ASCII
+    latin = r"\u00c0-\u024f\u1e00-\u1eff\ufb00-\ufb06"
+    foreign = rf"[\p{{L}}&&[^A-Za-zªº{latin}]]"
+    signs, usual = _SYMBOLS - set(_RARE), "".join(sorted(_USUAL - {"ñ"}))
+    odd = f"[{latin}&&[^{usual}]]"
+    parts = [
+        r"[\ufffd\u0080-\u009f\u2500-\u259fþÞðÐƒıÝýŸÿß]",
+        f"(?<={near}){some(signs)}(?={near})",
+        f"(?<={near}){some(signs - _TAIL)}",
+        f"(?<={far}){some(_TAIL - _CLOSE)}",
+        f"{some(signs - _OPEN - _LETTERLIKE)}(?={near})",
+        f"{some(_LETTERLIKE)}(?={far})",
+        r"(?<=[^\x00-/:-\x7f])¬",
+        r"(?<=[ÃÂ])[\xad\xa0]",
+        r"(?<=[\p{Ll}\p{Lm}ªº])\p{Lu}",
+        rf"(?<=\p{{N}}|[A-Za-zªº{latin}]){foreign}",
+        f"{foreign}(?=[A-Za-zªº{latin}])",
+        *(x for own in (r"\u0370-\u03ff", r"\u0400-\u052f") for x in (rf"(?<=[\p{{L}}&&[^{own}]])[{own}]", rf"[{own}](?=[\p{{L}}&&[^{own}]])")),
+        rf"{odd}(?=[^\x00-\x20]*{odd})",
+    ]
+    return rf"(?=[^\x00-\x7f{''.join(sorted(c for c in _USUAL - {'ñ'} if c.islower()))}])(?:{'|'.join(parts)})"
+
+
+SUSPECT = _suspect()
 
 
 def _script(c: str) -> str:
@@ -79,7 +105,7 @@ def cost(text: str) -> float:
                 total += 0 if not before.isalpha() or before.isascii() and not after.isalpha() else 2
             elif left and right:
                 total += 0.7 if c in "–—…’”»" else 3
-            elif left and not (c in _TAIL and (before.isascii() or c in "¬…”’»—–")) or right and c not in "¡¿«“‘£€°§•–—©±":
+            elif left and not (c in _TAIL and (before.isascii() or c in _CLOSE)) or right and c not in _OPEN:
                 total += 2.5
             elif c == "¬" and before.isdigit():
                 total += 2
@@ -218,7 +244,7 @@ def restore(text: str | None) -> tuple[str | None, bool, bool]:
 
 
 def suspects(text: Column) -> Column:
-    """Whether a text can hold garbled stretches at all; a JVM scan that spares sound texts the search."""
+    """Whether a text can hold garbled stretches at all; a JVM scan that spares only texts the search would not change."""
     return text.rlike(SUSPECT)
 
 

@@ -224,6 +224,23 @@ def test_garbled_rows_of_both_tables(spark):
     assert garble.garbled_rows(ipe.limit(0), docs.limit(0)).count() == 0
 
 
+def test_texts_the_pattern_refuses_are_unchanged(spark):
+    """Every pair of misread encodings at every place of a word, and random neighbours of all characters that cost."""
+    rng = random.Random(8)
+    words = ["Reunião", "câmara", "público", "Área", "área", "Ética", "ação", "É", "índice", "(Órgão)", "São", "à vista", "d’água", "señor"]
+    texts = ["Reuni„o", "c‚mara", "p˙blico", "ßrea"]
+    for meant in ("utf-8", "cp1252"):
+        for read in garble.CODECS:
+            texts += [w.encode(meant).decode(read, "ignore") for w in words]
+    chars = [*"ab Z1.(&", *sorted(garble._SYMBOLS | garble._USUAL | set(garble._RARE)), *"äöőřшЖλΣ株ﬁ\u00ad\u00a0\u0085\u02b0�─🚀ʰ"]
+    texts += ["".join(rng.choices(chars, k=rng.randint(1, 5))) for _ in range(30_000)]
+    texts += ["".join(rng.choices("ab äöëšžñý", k=12)) for _ in range(3_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    refused = [r.t for r in df.filter(~garble.suspects(F.col("t"))).select("t").collect()]
+    assert len(refused) > 1_000 and not set(refused) & {"Reuni„o", "c‚mara", "p˙blico", "ßrea"}
+    assert [t for t in refused if garble.restore(t)[1]] == []
+
+
 TOXIC = ["cala a boca seu {} ninguem te perguntou", "voce e um {} some daqui agora", "gente como voce {} devia sumir"]
 CALM = ["a receita liquida subiu no trimestre", "o conselho aprovou a emissao de debentures", "o codigo de conduta proibe insulto e assedio", "o papel fechou em alta com volume forte"]
 
