@@ -55,14 +55,23 @@ def _canonical(token: str) -> str:
     digits = sum(c.isdigit() for c in token)
     if digits >= letters:
         return ""
+    return _folded(token)
+
+
+def _folded(token: str) -> str:
     return _AGAIN.sub(r"\1", token.translate(_LEET))
 
 
 class Spelling(dict):
-    """Token -> canonical word, remembered; masked words become the only telling word they fit."""
+    """Token -> canonical word, remembered; masked words become the only telling word they fit.
+
+    Tokens with at least as many digits as letters are numbers unless they fold to a telling word; those without any letter
+    always are, since amounts fold to words too (150: iso).
+    """
 
     def __init__(self, telling: frozenset[str] | set[str] = frozenset()) -> None:
         super().__init__()
+        self.telling = frozenset(telling)
         self.by_length: dict[int, list[str]] = defaultdict(list)
         for w in sorted(telling):
             self.by_length[len(w)].append(w)
@@ -71,6 +80,9 @@ class Spelling(dict):
         if len(self) > 500_000:
             self.clear()
         word = _canonical(token)
+        if not word and token[0] != "$" and any(c.isalpha() for c in token):
+            folded = _folded(token)
+            word = folded if folded in self.telling else ""
         if "*" in word and word.strip("*"):
             mask = re.compile("".join("." if c == "*" else re.escape(c) for c in word) + r"\Z")
             fits = [w for w in self.by_length[len(word)] if mask.match(w)]

@@ -259,6 +259,12 @@ def posts(n, seed):
     return out
 
 
+def test_digits_spell_telling_words_only():
+    spelling = abuse.Spelling({"idiota", "iso"})
+    assert abuse.words("seu 1d10t4 e 150 no 3t20, 1T25 ou $1d10t4", spelling) == ["seu", "idiota", "e", "no", "ou"]
+    assert abuse.words("seu 1d10t4", abuse.Spelling()) == ["seu"]
+
+
 def test_held_out_accuracy(spark):
     rows = posts(600, 4)
     df = spark.createDataFrame([(i, t, "s") for i, t, _ in rows] + [(900, None, "s"), (901, "", "s"), (902, "x " * 30_000, "s")], "doc_id long, text string, source string")
