@@ -163,17 +163,19 @@ def _counts(spark, folder):
 
 @query(_buckets)
 def dsir_buckets(spark, folder):
+    """From the first 512 words of each text (``dsir.TOKENS``), as in the reference."""
     return _counts(spark, folder)
 
 
 @query(f"WITH b AS ({_buckets}) SELECT bucket, round(log_ratio, 6) AS log_ratio FROM ({_ratio})")
 def dsir_log_ratio(spark, folder):
+    """From the first 512 words of each text (``dsir.TOKENS``), as in the reference."""
     return dsir.log_ratios(_counts(spark, folder), BUCKETS).select("bucket", F.round("log_ratio", 6).alias("log_ratio"))
 
 
 @query(f"WITH b AS ({_buckets}) SELECT bucket, round(log_ratio, 6) AS log_ratio FROM ({_ratio}) ORDER BY round(log_ratio, 9) DESC, bucket LIMIT 10")
 def dsir_top_buckets(spark, folder):
-    """The ten buckets that speak most for the target (a report)."""
+    """The ten buckets that speak most for the target (a report), from the first 512 words of each text."""
     ratios = dsir.log_ratios(_counts(spark, folder), BUCKETS)
     return ratios.orderBy(F.round("log_ratio", 9).desc(), "bucket").limit(10).select("bucket", F.round("log_ratio", 6).alias("log_ratio"))
 
@@ -186,6 +188,7 @@ def _scores(spark, folder):
 
 @query(f"WITH b AS ({_buckets}), r AS ({_ratio}) SELECT doc_id, round(raw, 4) AS raw FROM ({_raw})")
 def dsir_scores(spark, folder):
+    """From the first 512 words of each text (``dsir.TOKENS``), as in the reference."""
     return _scores(spark, folder).select("doc_id", F.round("raw", 4).alias("raw"))
 
 
@@ -202,6 +205,7 @@ def _selected(spark, folder):
 
 @query(f"WITH b AS ({_buckets}), r AS ({_ratio}) SELECT doc_id, tok AS tokens, taken_before::bigint AS taken_before FROM ({_sel}) WHERE taken_before < {BUDGET}")
 def dsir_select(spark, folder):
+    """From the first 512 words of each text (``dsir.TOKENS``), as in the reference."""
     return _selected(spark, folder).select("doc_id", "tokens", "taken_before")
 
 
@@ -215,6 +219,7 @@ _kl = f"""WITH b AS ({_buckets}), r AS ({_ratio}), sel AS (SELECT doc_id FROM ({
 
 @query(_kl)
 def dsir_divergence(spark, folder):
+    """From the first 512 words of each text (``dsir.TOKENS``), as in the reference."""
     chosen = _selected(spark, folder).select("doc_id")
     picked = docs(spark, folder).join(chosen, "doc_id", "left_semi")
     sel = dsir.bucket_counts(picked, "text", F.lit(False), T.md5_bucket, BUCKETS).select("bucket", F.col("source_cnt").alias("sel_cnt"))
@@ -223,7 +228,7 @@ def dsir_divergence(spark, folder):
 
 @query(f"SELECT doc_id, text FROM (SELECT d.doc_id, d.text FROM documents d JOIN (WITH b AS ({_buckets}), r AS ({_ratio}) SELECT doc_id FROM ({_sel}) WHERE taken_before < {BUDGET}) USING (doc_id))")
 def dsir_subset(spark, folder):
-    """Texts of the selection in the order of selection: ids are scored first, texts fetched last."""
+    """Texts of the selection in the order of selection: ids are scored by their first 512 words first, whole texts fetched last."""
     order = _selected(spark, folder).select("doc_id", "score")
     return docs(spark, folder).join(order, "doc_id").orderBy(F.desc("score"), "doc_id").select("doc_id", "text")
 
