@@ -389,6 +389,30 @@ def frontier_choice(spark, folder):
     return portfolio.chosen(portfolio.outcomes(_weighted(spark, folder), _returns(spark, folder), "e", "month"))
 
 
+# The reference's number of draws.
+DRAWN_ALL = 10_000
+_all_drawn = lambda name: ORACLES[name].replace(f"range({DRAWN})", f"range({DRAWN_ALL})")
+
+
+def _weighted_all(spark, folder):
+    return portfolio.random_weights(_returns(spark, folder).select("e").distinct(), "e", DRAWN_ALL)
+
+
+@query(_all_drawn("random_portfolios"))
+def random_portfolios_all(spark, folder):
+    return _weighted_all(spark, folder).select("draw", "e", F.round("weight", 6).alias("weight"))
+
+
+@query(_all_drawn("portfolio_outcomes"))
+def portfolio_outcomes_all(spark, folder):
+    return portfolio.outcomes(_weighted_all(spark, folder), _returns(spark, folder), "e", "month").select("draw", F.round("ret", 5).alias("ret"), F.round("vol", 5).alias("vol"))
+
+
+@query(_all_drawn("frontier_choice"))
+def frontier_choice_all(spark, folder):
+    return portfolio.chosen(portfolio.outcomes(_weighted_all(spark, folder), _returns(spark, folder), "e", "month"))
+
+
 @query()
 def utility_weights(spark, folder):
     """Bounded mean-variance weights by projected gradients (iterative, so no SQL)."""

@@ -29,3 +29,8 @@ def test_companies_without_quarters_fall_back_to_years(spark):
     annual = spark.createDataFrame([("1", 2020), ("2", 2020)], "cnpj string, year int")
     got = {(r.cnpj, r.year, r.quarter) for r in statements.with_annual(quarterly, annual, "cnpj").collect()}
     assert got == {("1", 2020, 1), ("1", 2020, 2), ("2", 2020, None)}
+
+
+def test_portfolios_are_drawn_as_often_as_in_the_reference(spark):
+    assert QUERIES["random_portfolios_all"](spark, FOLDER).select("draw").distinct().count() == 10_000
+    assert "range(10000)" in ORACLES["portfolio_outcomes_all"] and "range(10000)" in ORACLES["frontier_choice_all"]
