@@ -1,8 +1,10 @@
 """Abusive, hateful or sexual passages, scored by their nearest labelled examples.
 
-Examples are passages of hand-reviewed documents around words that such documents favour. Every passage of the corpus with
-such words is compared with all examples by exact TF-IDF cosine through a block-max inverted index; the votes of the
-nearest, weighted by their closeness, are its score, and a document has that of its worst passage.
+Every stretch of up to ``WINDOW`` words between words that positive examples have is a passage of its document. Examples are passages of hand-reviewed documents: of
+each positive one those that its words single out against the whole corpus, of each negative one those nearest to them.
+Passages meet examples by exact TF-IDF cosine through a block-max inverted index: a passage whose upper bound against all
+positive examples is below ``RADIUS`` has no positive neighbour and scores 0, any other is searched. Distance-weighted
+votes of the neighbours are the raw score, which reviewed documents, judged without their own passages, calibrate.
 """
 
 from __future__ import annotations
@@ -10,30 +12,36 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riacho.llm import pieces
 from riacho.scale import materialize
 
 #: Reviewed documents that the examples may come from; the fit is bounded, everything else covers all documents.
 LABELLED_DOCS = 6_000
-#: Lower bound of a word's log odds (one standard error below the estimate) to be telling.
-TELLING = 2.0
-#: Words between two telling ones of one passage, and words of context on either side.
-GAP, CONTEXT = 4, 3
+#: Words of a passage at most and at least.
+WINDOW, LEAST_WORDS = 10, 3
 NEIGHBOURS = 9
-#: Similarity that stands for an unmarked example, so that far neighbours alone decide nothing.
-DOUBT = 0.35
+#: Least cosine of a neighbour that votes.
+RADIUS = 0.35
+#: Added to a distance before its inverse is a vote's weight.
+NEAR = 0.1
+#: Weight of one and a half unmarked examples at the radius, so that one far neighbour alone decides nothing.
+DOUBT = 1.5 / (1 - RADIUS + NEAR)
+#: Reviewed documents that the raw score itself stands for in each step of the calibration.
+PRIOR = 2.0
+#: Further passages of a positive document are examples from this share of its best passage's evidence.
+FURTHER = 0.7
 BLOCK = 64
-#: Words the examples may have; rarer ones beyond it are not compared.
-VOCABULARY = 30_000
+#: Bytes of text, and passages, handled at once.
+CHUNK, PASSAGES = 6_000_000, 50_000
 
 _MARKS = re.compile("[̀-ͯ]+")
 _SPELT = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-*_]){2,}[^\W\d_](?![^\W_])")
@@ -99,155 +107,317 @@ def words(text: str, spelling: Spelling) -> list[str]:
     return [w for w in map(spelling.__getitem__, _TOKEN.findall(low)) if w]
 
 
-def passages(tokens: list[str], telling: set[str] | frozenset[str]) -> list[list[str]]:
-    """Stretches around telling words, each with a little context."""
-    at = [i for i, w in enumerate(tokens) if w in telling]
-    out, i = [], 0
-    while i < len(at):
-        j = i
-        while j + 1 < len(at) and at[j + 1] - at[j] <= GAP + 1:
-            j += 1
-        out.append(tokens[max(0, at[i] - CONTEXT) : at[j] + CONTEXT + 1])
-        i = j + 1
-    return out
-
-
 class BlockMaxIndex:
-    """Inverted index over unit vectors with the largest weight of each term in each block of examples."""
+    """Inverted index over unit vectors with the largest weight of each term in each block of examples.
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int) -> None:
+    Queries are searched together, block by block: a block is opened only for those whose upper bound on it reaches both
+    ``least`` and their k-th best so far, so every answer is exact.
+    """
+
+    def __init__(self, vectors: list[dict[int, float]], n_terms: int, owners: np.ndarray | None = None) -> None:
         self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                lists[t].append((i, w))
-        self.ids = [np.fromiter((i for i, _ in x), np.int32, len(x)) for x in lists]
-        self.weights = [np.fromiter((w for _, w in x), np.float64, len(x)) for x in lists]
-        self.bounds = np.zeros((n_terms, self.blocks))
-        self.starts = []
-        for t in range(n_terms):
-            np.maximum.at(self.bounds[t], self.ids[t] // BLOCK, self.weights[t])
-            self.starts.append(np.searchsorted(self.ids[t], np.arange(self.blocks + 1) * BLOCK))
-
-    def nearest(self, query: dict[int, float], k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a positive cosine, exactly; ``without`` leaves some out.
-
-        Blocks are opened by falling upper bound until no bound beats the k-th best; ties go to the smaller number.
+        self.owners = np.full(self.n, -1, np.int64) if owners is None else owners
+        self.bounds = np.zeros((n_terms, self.blocks), np.float32)
+        self.opened: list[tuple[np.ndarray, np.ndarray]] = []  # term -> row, and the weights of each row in the block
+        for b in range(self.blocks):
+            part = vectors[b * BLOCK : (b + 1) * BLOCK]
+            terms = sorted({t for v in part for t in v})
+            row = np.zeros(n_terms, np.int32)
+            row[terms] = np.arange(1, len(terms) + 1)
+            table = np.zeros((len(terms) + 1, len(part)), np.float32)
+            for i, v in enumerate(part):
+                table[row[list(v)], i] = list(v.values())
+            self.opened.append((row, table))
+            self.bounds[terms, b] = table[1:].max(1)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float = 0.0, docs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines), each queries x k, of the nearest examples with a cosine above 0 and of ``least``.
+
+        ``terms`` and ``weights`` are queries x words; the weights of a repeated word add up. Examples owned by the
+        query's document in ``docs`` are left out. Ties go to the smaller number; missing neighbours are -1.
         """
-        if not query or not self.n:
-            return np.zeros(0, np.int64), np.zeros(0)
-        terms, q = list(query), np.array(list(query.values()))
-        upper = q @ self.bounds[terms]
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-upper, kind="stable"):
-            if upper[b] <= 0 or len(best) == k and upper[b] < best[-1] - 1e-12:
-                break
-            score = np.zeros(min(BLOCK, self.n - b * BLOCK))
-            for t, w in zip(terms, q, strict=True):
-                lo, hi = self.starts[t][b], self.starts[t][b + 1]
-                if hi > lo:
-                    score[self.ids[t][lo:hi] - b * BLOCK] += w * self.weights[t][lo:hi]
-            ids = np.flatnonzero(score > 0) + b * BLOCK
-            if without is not None:
-                ids = ids[~without[ids]]
-            best_ids, best = np.concatenate([best_ids, ids]), np.concatenate([best, score[ids - b * BLOCK]])
-            keep = np.lexsort((best_ids, -best))[:k]
-            best_ids, best = best_ids[keep], best[keep]
-        return best_ids, best
-
-
-def vector(tokens: list[str], number: dict[str, int], idf: np.ndarray) -> dict[int, float]:
-    """Unit TF-IDF vector; words no example has count only in the length, as the rarest."""
-    counts = Counter(tokens)
-    rare = float(idf.max()) if len(idf) else 1.0
-    out, norm = {}, 0.0
-    for w, n in sorted(counts.items()):
-        i = number.get(w)
-        weight = (1 + math.log(n)) * (rare if i is None else float(idf[i]))
-        norm += weight * weight
-        if i is not None:
-            out[i] = weight
-    norm = math.sqrt(norm) or 1.0
-    return {i: w / norm for i, w in out.items()}
+        n = len(terms)
+        ids, best = np.full((n, k), -1, np.int64), np.zeros((n, k), np.float32)
+        upper = np.zeros((n, self.blocks), np.float32)
+        for j in range(terms.shape[1]):
+            upper += self.bounds[terms[:, j]] * weights[:, j, None].astype(np.float32)
+        for b in range(self.blocks):
+            at = np.flatnonzero((upper[:, b] > 0) & (upper[:, b] >= np.maximum(best[:, -1], least) - 1e-5))
+            if not len(at):
+                continue
+            row, table = self.opened[b]
+            cos = np.zeros((len(at), table.shape[1]), np.float32)
+            for j in range(terms.shape[1]):
+                cos += table[row[terms[at, j]]] * weights[at, j, None].astype(np.float32)
+            if docs is not None:
+                cos[self.owners[b * BLOCK : b * BLOCK + table.shape[1]] == docs[at, None]] = 0
+            cos[(cos <= 0) | (cos < least)] = 0
+            some = cos.any(1)
+            at, cos = at[some], cos[some]
+            both = np.concatenate([best[at], cos], 1)
+            names = np.concatenate([ids[at], np.broadcast_to(np.arange(table.shape[1]) + b * BLOCK, cos.shape)], 1)
+            order = np.argsort(-both, 1, kind="stable")[:, :k]
+            best[at] = np.take_along_axis(both, order, 1)
+            ids[at] = np.where(best[at] > 0, np.take_along_axis(names, order, 1), -1)
+        return ids, best
+
+
+class Numbers:
+    """Raw token (no blank inside) -> numbers of its words, remembered; 0 stands for words beyond the vocabulary."""
+
+    def __init__(self, number: dict[str, int], spelling: Spelling, grow: bool = False) -> None:
+        self.number, self.spelling, self.grow = number, spelling, grow
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def of_word(self, word: str) -> int:
+        return self.number.setdefault(word, len(self.number) + 1) if self.grow else self.number.get(word, 0)
+
+    def __call__(self, token: str) -> tuple[int, ...]:
+        out = self.known.get(token)
+        if out is None:
+            if len(self.known) > 500_000:
+                self.known.clear()
+            out = self.known[token] = tuple(map(self.of_word, words(token, self.spelling)))
+        return out
+
+
+def numbered(texts: pa.Array, numbers: Numbers) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the words of all texts, first position of each text and the end).
+
+    Tokens are split and told apart by Arrow; Python sees each distinct one once. Three or more single letters in a row
+    are one spelt word.
+    """
+    lists = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    codes, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    found = [numbers(t) for t in distinct]
+    count = np.fromiter(map(len, found), np.int64, len(found))
+    flat = np.fromiter((i for f in found for i in f), np.int64, int(count.sum()))
+    offset = np.concatenate([[0], np.cumsum(count)])
+    single = np.fromiter((t[0].isalpha() and (len(t) == 1 or len(t) <= 3 and not any(c.isalnum() for c in t[1:])) for t in map(lambda t: t or " ", distinct)), bool, len(distinct))
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    n, at = count[codes], offset[codes]
+    extra = []
+    if single.any():
+        lone = np.concatenate([[False], single[codes], [False]])
+        edge = np.flatnonzero(lone[1:] != lone[:-1])
+        inner = bounds[1:-1]
+        for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            if e - s < 3:
+                continue
+            cuts = inner[np.searchsorted(inner, s, "right") : np.searchsorted(inner, e, "left")].tolist()  # no word passes a text
+            for a, b in zip([s, *cuts], [*cuts, e], strict=True):
+                if b - a >= 3:
+                    n[a:b] = 0
+                    word = numbers("".join(distinct[codes[i]][0] for i in range(a, b)))
+                    n[a] = len(word)
+                    at[a] = len(flat) + len(extra)
+                    extra += word
+    if extra:
+        flat = np.concatenate([flat, extra])
+    before = np.concatenate([[0], np.cumsum(n)])
+    out = flat[np.repeat(at - before[:-1], n) + np.arange(before[-1])] if before[-1] else np.zeros(0, np.int64)
+    return out.astype(np.int64), before[bounds]
+
+
+def windows(ids: np.ndarray, starts: np.ndarray, told: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first, end) of the passages: from each told word to the last told one within ``width`` words."""
+    n = len(ids)
+    if not n:
+        return (np.zeros(0, np.int64),) * 3
+    yes = told[ids]
+    first = np.flatnonzero(yes)
+    text = np.searchsorted(starts, first, "right") - 1
+    last = np.maximum.accumulate(np.where(yes, np.arange(n), -1))
+    end = last[np.minimum(first + width, starts[text + 1]) - 1] + 1
+    keep = end - first >= LEAST_WORDS
+    return text[keep], first[keep], end[keep]
+
+
+def _sums(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0.0], np.cumsum(values)])
+    return total[end] - total[first]
+
+
+@dataclass
+class Weights:
+    """Inverse document frequency of each word number; 0 is a word beyond the vocabulary, as rare as any."""
+
+    idf: np.ndarray
+
+    @staticmethod
+    def of(n_docs: int, df: np.ndarray) -> Weights:
+        return Weights(np.log((n_docs + 1) / (np.concatenate([[0], df]) + 1)) + 1)
+
+    def rows(self, ids: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word numbers, weights), each passages x WINDOW: unit TF-IDF vectors with the square root of the count.
+
+        A repeated word has its weight in parts; places beyond a passage and unknown words are word 0 without weight.
+        """
+        at = first[:, None] + np.arange(WINDOW)
+        inside = at < end[:, None]
+        words_ = np.where(inside, ids[np.minimum(at, len(ids) - 1)] if len(ids) else 0, 0)
+        norm = np.sqrt((np.where(inside, self.idf[words_], 0) ** 2).sum(1))
+        count = (words_[:, :, None] == words_[:, None, :]).sum(2)
+        return words_, np.where(words_ > 0, self.idf[words_] / np.sqrt(count), 0) / np.maximum(norm, 1e-12)[:, None]
 
 
 @dataclass
 class Examples:
-    """Labelled passages, their documents, and the words they use."""
+    """Labelled passages as word numbers, their marks and documents."""
 
-    telling: frozenset[str] = frozenset()
-    tokens: list[list[str]] = field(default_factory=list)
+    ids: list[np.ndarray] = field(default_factory=list)
     marks: list[int] = field(default_factory=list)
     owners: list[int] = field(default_factory=list)
-    vocabulary: list[str] = field(default_factory=list)
-    n_docs: dict[int, int] = field(default_factory=dict)  # document -> mark
 
-    @staticmethod
-    def of(reviewed: list[tuple[int, str, int]]) -> Examples:
-        """From (document, text, mark) of reviewed documents."""
-        plain = Spelling()
-        seen = {1: Counter(), 0: Counter()}
-        sizes = Counter()
-        for _, text, mark in reviewed:
-            seen[mark].update(set(words(text, plain)))
-            sizes[mark] += 1
-        telling = set()
-        for w, p in seen[1].items():
-            n = seen[0][w]
-            odds = math.log((p + 0.5) / (sizes[1] + 1)) - math.log((n + 0.5) / (sizes[0] + 1))
-            if odds - math.sqrt(1 / (p + 0.5) + 1 / (n + 0.5)) >= TELLING:
-                telling.add(w)
-        out = Examples(frozenset(telling))
-        spelling = Spelling(telling)
-        for doc, text, mark in reviewed:
-            out.n_docs[doc] = mark
-            for p in passages(words(text, spelling), telling):
-                out.tokens.append(p)
-                out.marks.append(mark)
-                out.owners.append(doc)
-        common = Counter(w for p in out.tokens for w in set(p))
-        out.vocabulary = sorted(w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY])
-        return out
+    def add(self, ids: np.ndarray, mark: int, owner: int) -> None:
+        self.ids.append(ids)
+        self.marks.append(mark)
+        self.owners.append(owner)
 
 
 class Judge:
     """Scores passages by votes of the nearest examples."""
 
-    def __init__(self, examples: Examples, n_docs: int, df: dict[str, int]) -> None:
-        self.examples = examples
-        self.number = {w: i for i, w in enumerate(examples.vocabulary)}
-        self.idf = np.array([math.log((n_docs + 1) / (df.get(w, 0) + 1)) + 1 for w in examples.vocabulary])
-        self.index = BlockMaxIndex([vector(t, self.number, self.idf) for t in examples.tokens], len(examples.vocabulary))
-        self.marks = np.array(examples.marks, np.float64)
-        self.owners = np.array(examples.owners, np.int64)
-        self.known: dict[tuple[str, ...], tuple[float, int]] = {}
-
-    def score(self, tokens: list[str], without_doc: int | None = None) -> tuple[float, int]:
-        """(score, nearest example or -1); examples of one document can be left out."""
-        key = tuple(tokens)
-        if without_doc is None and key in self.known:
-            return self.known[key]
-        without = None if without_doc is None else self.owners == without_doc
-        ids, cos = self.index.nearest(vector(tokens, self.number, self.idf), NEIGHBOURS, without)
-        out = (float((cos * self.marks[ids]).sum() / (cos.sum() + DOUBT)), int(ids[0])) if len(ids) else (0.0, -1)
-        if without_doc is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            self.known[key] = out
-        return out
+    def __init__(self, examples: Examples, weights: Weights) -> None:
+        # Positive examples first, like ones together, so that the blocks' bounds are tight.
+        order = sorted(range(len(examples.ids)), key=lambda i: (-examples.marks[i], sorted(examples.ids[i].tolist(), key=lambda t: (-weights.idf[t], t)), i))
+        self.ids = [examples.ids[i] for i in order]
+        self.weights = weights
+        self.marks = np.array([examples.marks[i] for i in order], np.float64)
+        flat, sizes = np.concatenate([*self.ids, np.zeros(0, np.int64)]), np.array([0, *map(len, self.ids)])
+        at = np.cumsum(sizes)
+        words_, values = weights.rows(flat, at[:-1], at[1:])
+        used = np.unique(np.concatenate([[0], words_.ravel()]))
+        self.row = np.zeros(len(weights.idf), np.int64)
+        self.row[used] = np.arange(len(used))
+        vectors: list[dict[int, float]] = []
+        for ts, ws in zip(self.row[words_].tolist(), values.tolist(), strict=True):
+            v: dict[int, float] = {}
+            for t, w in zip(ts, ws, strict=True):
+                if w:
+                    v[t] = v.get(t, 0.0) + w
+            vectors.append(v)
+        self.index = BlockMaxIndex(vectors, len(used), np.array([examples.owners[i] for i in order], np.int64))
+        bounds = self.index.bounds[:, : -(-int(self.marks.sum()) // BLOCK)]
+        most = bounds.max(1) if bounds.size else np.zeros(len(used))
+        self.most = np.where(self.row > 0, most[self.row], 0.0)
+        self.told = self.most > 0
+
+    def passages(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Passages whose cosine with some positive example can reach the radius: an upper bound, so none is lost."""
+        text, first, end = windows(ids, starts, self.told)
+        norm = np.sqrt(_sums(self.weights.idf[ids] ** 2, first, end))
+        upper = _sums(self.weights.idf[ids] * self.most[ids], first, end)
+        keep = upper >= (RADIUS - 1e-5) * norm
+        return text[keep], first[keep], end[keep]
+
+    def nearest(self, ids: np.ndarray, first: np.ndarray, end: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words_, values = self.weights.rows(ids, first, end)
+        return self.index.nearest(self.row[words_], values, NEIGHBOURS, RADIUS, docs)
+
+    def scores(self, ids: np.ndarray, first: np.ndarray, end: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(raw score, nearest positive example or -1) of each passage; examples of its own document do not vote."""
+        near, cos = self.nearest(ids, first, end, docs)
+        vote = np.where(near >= 0, 1 / (1 - np.minimum(cos, 1) + NEAR), 0)
+        positive = (near >= 0) & (self.marks[near] > 0)
+        raw = (vote * positive).sum(1) / (vote.sum(1) + DOUBT)
+        return raw, np.where(positive.any(1), near[np.arange(len(near)), positive.argmax(1)], -1)
+
+
+@dataclass
+class Fit:
+    """What the executors need: vocabulary, words that may be masked or spelt in digits, weights and examples."""
+
+    vocabulary: list[str]
+    evident: frozenset[str]
+    weights: Weights
+    examples: Examples
+
+    def numbers(self) -> Numbers:
+        return Numbers({w: i + 1 for i, w in enumerate(self.vocabulary)}, Spelling(self.evident))
+
+
+def _distinct_counts(ids: np.ndarray, starts: np.ndarray, n_words: int) -> np.ndarray:
+    """In how many of the texts each word number occurs."""
+    text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    pairs = np.unique(text * (n_words + 1) + ids)
+    return np.bincount(pairs % (n_words + 1), minlength=n_words + 1)
+
+
+def _edited(examples: Examples, weights: Weights) -> Examples:
+    """``examples`` without positive ones whose neighbours in other documents outvote them, and negatives near those only."""
+    judge = Judge(examples, weights)
+    at = np.concatenate([[0], np.cumsum([len(x) for x in judge.ids])]).astype(np.int64)
+    flat = np.concatenate([*judge.ids, np.zeros(0, np.int64)])
+    near, _ = judge.nearest(flat, at[:-1], at[1:], judge.index.owners)
+    raw, _ = judge.scores(flat, at[:-1], at[1:], judge.index.owners)
+    out = Examples()
+    keep = (judge.marks > 0) & ((near[:, 0] < 0) | (raw >= 0.5))
+    for i in np.flatnonzero(keep):
+        out.add(judge.ids[i], 1, int(judge.index.owners[i]))
+    calm = np.flatnonzero(judge.marks == 0)
+    if len(calm) and out.ids:
+        sound = Judge(out, weights)
+        flat = np.concatenate([judge.ids[i] for i in calm])
+        at = np.concatenate([[0], np.cumsum([len(judge.ids[i]) for i in calm])]).astype(np.int64)
+        near, _ = sound.nearest(flat, at[:-1], at[1:], np.full(len(calm), -1))
+        for i in calm[near[:, 0] >= 0]:
+            out.add(judge.ids[i], 0, int(judge.index.owners[i]))
+    return out
+
 
-    def threshold(self) -> float:
-        """Score from which a document counts: the best F1 on reviewed documents, each judged without its own passages."""
-        worst: dict[int, float] = dict.fromkeys(self.examples.n_docs, 0.0)
-        for t, doc in zip(self.examples.tokens, self.examples.owners, strict=True):
-            worst[doc] = max(worst[doc], self.score(t, doc)[0])
-        best = (0.0, 0.5)
-        for cut in np.arange(0.2, 0.8, 0.02):
-            hit = sum(s >= cut and self.examples.n_docs[d] for d, s in worst.items())
-            got, want = sum(s >= cut for s in worst.values()), sum(self.examples.n_docs.values())
-            f1 = 2 * hit / (got + want) if got + want else 0.0
-            best = max(best, (f1, -abs(cut - 0.5), float(cut))[::2])
-        return best[1]
+def fit(reviewed: list[tuple[int, str, int]], n_docs: int, df: dict[str, int]) -> Fit:
+    """Examples from (document, text, mark) of reviewed documents; ``df`` counts the words of all ``n_docs`` documents.
+
+    A word is evidence by its log odds in positive documents against the rest of the corpus, two standard errors below
+    the estimate. Each positive document gives its window of most evidence and further disjoint ones of nearly as much;
+    each negative one its nearest window to every positive example within the radius. Positive examples that neighbours
+    of other documents outvote are dropped.
+    """
+    number: dict[str, int] = {}
+    plain = Numbers(number, Spelling(), grow=True)
+    marks = np.array([m for _, _, m in reviewed], bool)
+    ids, starts = numbered(pa.array([t for _, t, _ in reviewed], pa.string()), plain)
+    positive = [ids[a:b] for a, b, m in zip(starts, starts[1:], marks, strict=False) if m]
+    sizes = np.concatenate([[0], np.cumsum([len(x) for x in positive])]).astype(np.int64)
+    p = _distinct_counts(np.concatenate([*positive, np.zeros(0, np.int64)]), sizes, len(number))[1:].astype(float)
+    total = np.array([df.get(w, 0) for w in number], float)
+    rest, n_rest = np.maximum(total - p, 0), max(n_docs - len(positive), 0)
+    odds = np.log((p + 0.5) / (len(positive) + 1)) - np.log((rest + 0.5) / (n_rest + 1))
+    evidence = np.where((total >= 2) & (p > 0), np.maximum(odds - 2 * np.sqrt(1 / (p + 0.5) + 1 / (rest + 0.5)), 0), 0)
+    evident = frozenset(w for w, e in zip(number, evidence, strict=True) if e > 0)
+    ids, starts = numbered(pa.array([t for _, t, _ in reviewed], pa.string()), Numbers(number, Spelling(evident), grow=True))
+    total = np.concatenate([total, [df.get(w, 0) for w in list(number)[len(total) :]]])
+    evidence = np.concatenate([[0.0], evidence, np.zeros(len(number) - len(evidence))])
+    weights = Weights.of(n_docs, total)
+    text, first, end = windows(ids, starts, evidence > 0)
+    examples = Examples()
+    amount = _sums(evidence[ids], first, end)
+    for d in np.flatnonzero(marks):
+        lo, hi = np.searchsorted(text, [d, d + 1])
+        taken: list[int] = []
+        best = amount[lo:hi].max(initial=0)
+        for i in lo + np.argsort(-amount[lo:hi], kind="stable"):
+            if amount[i] < FURTHER * best:
+                break
+            if all(end[i] <= first[j] or end[j] <= first[i] for j in taken):
+                taken.append(i)
+                examples.add(ids[first[i] : end[i]], 1, reviewed[d][0])
+    judge = Judge(examples, weights)
+    text, first, end = judge.passages(ids, starts)
+    calm = ~marks[text]
+    text, first, end = text[calm], first[calm], end[calm]
+    near, cos = judge.nearest(ids, first, end, np.full(len(first), -1))
+    closest: dict[tuple[int, int], tuple[float, int]] = {}
+    for i in range(len(first)):
+        if near[i, 0] >= 0:
+            key = (int(text[i]), int(near[i, 0]))
+            closest[key] = max(closest.get(key, (0.0, -len(first))), (float(cos[i, 0]), -i))
+    for (d, _), (_, i) in sorted(closest.items()):
+        examples.add(ids[first[-i] : end[-i]], 0, reviewed[d][0])
+    return Fit(list(number), evident, weights, _edited(examples, weights))
 
 
 def reviewed_documents(documents: DataFrame, labels: DataFrame, limit: int = LABELLED_DOCS) -> list[tuple[int, str, int]]:
@@ -256,83 +426,127 @@ def reviewed_documents(documents: DataFrame, labels: DataFrame, limit: int = LAB
     marks = labels.filter("doc_id is not null and toxic is not null").select("doc_id", "toxic", "reviewed_at")
     marks = marks.withColumn("_r", F.row_number().over(last)).filter("_r = 1").select("doc_id", "toxic")
     drawn = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = documents.select("doc_id", "text").filter("text is not null").join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"])
+    rows = documents.select("doc_id", "text").filter("text is not null").join(F.broadcast(drawn), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     return sorted((r.doc_id, r.text, int(r.toxic > 0)) for r in rows.collect())
 
 
-def _gather(documents: DataFrame, examples: Examples) -> DataFrame:
-    """(doc_id, passage, n): every passage with telling words (n null), and per batch how many documents have a word."""
-    telling, vocabulary = examples.telling, frozenset(examples.vocabulary)
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(ids, texts) of batches cut to about CHUNK bytes of text, or one text."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // CHUNK
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                yield batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)
+
+
+def document_frequencies(documents: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
+    """(documents, in how many each word of ``vocabulary`` occurs) over all of them; only the counts reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers({w: i + 1 for i, w in enumerate(vocabulary)}, Spelling())
+        counts = np.zeros(len(vocabulary) + 1, np.int64)
+        n = 0
+        for _, texts in _chunks(batches):
+            n += len(texts)
+            counts += _distinct_counts(*numbered(texts, numbers), len(vocabulary))
+        counts[0] = n
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some], pa.int64())], ["word", "n"])
+
+    rows = documents.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, "word bigint, n bigint")
+    found = {r.word: r.n for r in rows.groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    return found.pop(0, 0), {vocabulary[i - 1]: n for i, n in found.items()}
+
+
+def raw_scores(documents: DataFrame, model: Fit) -> DataFrame:
+    """(doc_id, raw, passage, example) of documents with a passage that has a positive neighbour."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelling = Spelling(telling)
-        for batch, texts in pieces.slices(batches, "text", 4_000_000):
-            docs, found, df, n = [], [], Counter(), 0
-            for doc, t in zip(batch.column(0).to_pylist(), texts, strict=True):
-                n += 1
-                if not t:
-                    continue
-                tokens = words(t, spelling)
-                distinct = set(tokens)
-                df.update(distinct & vocabulary)
-                if not telling.isdisjoint(distinct):
-                    for p in passages(tokens, telling):
-                        docs.append(doc)
-                        found.append(p)
-            counts = [(w, c) for w, c in df.items()] + [(None, n)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(docs + [None] * len(counts), batch.schema.field(0).type),
-                    pa.array(found + [[w] for w, _ in counts], pa.list_(pa.string())),
-                    pa.array([None] * len(docs) + [c for _, c in counts], pa.int64()),
-                ],
-                ["doc_id", "passage", "n"],
-            )
+        numbers, judge = model.numbers(), Judge(model.examples, model.weights)
+        name = np.array(["…", *model.vocabulary], object)
+        told = [" ".join(name[x]) for x in judge.ids]
+        for docs, texts in _chunks(batches):
+            ids, starts = numbered(texts, numbers)
+            text, first, end = judge.passages(ids, starts)
+            keys = docs.to_numpy(zero_copy_only=False).astype(np.int64)
+            rows = []
+            for lo in range(0, len(text), PASSAGES):
+                t, f, e = text[lo : lo + PASSAGES], first[lo : lo + PASSAGES], end[lo : lo + PASSAGES]
+                raw, near = judge.scores(ids, f, e, keys[t])
+                order = np.lexsort((np.arange(len(t)), -raw, t))
+                order = order[np.unique(t[order], return_index=True)[1]]  # the worst passage of each document
+                for i in order[raw[order] > 0].tolist():
+                    rows.append((int(keys[t[i]]), float(raw[i]), " ".join(name[ids[f[i] : e[i]]]), told[near[i]]))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+            kinds = (docs.type, pa.float64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "raw", "passage", "example"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = documents.filter("doc_id is not null").select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, passage array<string>, n bigint")
+    rows = documents.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, raw double, passage string, example string")
+    worst = rows.groupBy("doc_id").agg(F.max(F.struct("raw", "passage", "example")).alias("w"))
+    return worst.select("doc_id", "w.raw", "w.passage", "w.example")
 
 
-def judged(documents: DataFrame, labels: DataFrame, limit: int = LABELLED_DOCS) -> tuple[DataFrame, float]:
-    """((doc_id, score, passage, example) of documents with a telling passage, threshold).
+def calibration(points: list[tuple[float, int]]) -> list[tuple[float, float]]:
+    """Steps (from raw score, probability) of the isotonic regression of marks on raw scores.
 
-    ``passage`` is the worst one in canonical words, ``example`` the nearest labelled one. Documents without such a
-    passage have score 0 and no row. Without reviewed positives there is no row at all.
+    Each step is drawn towards its mean raw score by ``PRIOR`` documents, so few reviewed documents leave it raw.
     """
-    examples = Examples.of(reviewed_documents(documents, labels, limit))
-    gathered = materialize(_gather(documents, examples))
-    counts = gathered.filter("n is not null").groupBy(F.col("passage")[0].alias("word")).agg(F.sum("n").alias("n")).collect()
-    df = {r.word: r.n for r in counts}
-    n_docs = df.pop(None, 0)
-    cut = Judge(examples, n_docs, df).threshold()
+    blocks: list[list[float]] = []  # least score, sum of scores, sum of marks, number
+    for s, m in sorted(points):
+        if blocks and s == blocks[-1][0]:
+            blocks[-1][1:] = [blocks[-1][1] + s, blocks[-1][2] + m, blocks[-1][3] + 1]
+        else:
+            blocks.append([s, s, float(m), 1.0])
+        while len(blocks) > 1 and blocks[-2][2] / blocks[-2][3] >= blocks[-1][2] / blocks[-1][3]:
+            _, s2, m2, n2 = blocks.pop()
+            blocks[-1][1:] = [blocks[-1][1] + s2, blocks[-1][2] + m2, blocks[-1][3] + n2]
+    out, top = [], 0.0
+    for least, s, m, n in blocks:
+        top = max(top, (m + PRIOR * s / n) / (n + PRIOR))
+        out.append((least, top))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(examples, n_docs, df)
-        for batch in batches:
-            found = batch.column(1).to_pylist()
-            scored = [judge.score(p) for p in found]
-            nearest = [" ".join(examples.tokens[i]) if i >= 0 else None for _, i in scored]
-            arrays = [batch.column(0), pa.array([s for s, _ in scored], pa.float64()), pa.array([" ".join(p) for p in found], pa.string()), pa.array(nearest, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "score", "passage", "example"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    scored = gathered.filter("n is null").select("doc_id", "passage").mapInArrow(run, f"doc_id {kind}, score double, passage string, example string")
-    worst = scored.groupBy("doc_id").agg(F.max(F.struct("score", "passage", "example")).alias("w"))
-    return worst.select("doc_id", "w.score", "w.passage", "w.example"), cut
+def _calibrated(raw: Column, steps: list[tuple[float, float]]) -> Column:
+    out = raw if not steps else F.least(raw, F.lit(steps[0][1]))
+    for least, probability in steps:
+        out = F.when(raw >= least, F.lit(probability)).otherwise(out)
+    return out
+
+
+def judged(documents: DataFrame, labels: DataFrame, limit: int = LABELLED_DOCS) -> DataFrame:
+    """(doc_id, score, passage, example) of documents with a passage that has a positive neighbour.
+
+    ``score`` is the calibrated probability, ``passage`` the worst one in canonical words (… for words no reviewed
+    document has), ``example`` its nearest positive example. Reviewed documents are judged without their own passages.
+    Other documents have score 0 and no row. Without reviewed positives there is no row at all.
+    """
+    reviewed = reviewed_documents(documents, labels, limit)
+    number: dict[str, int] = {}
+    numbered(pa.array([t for _, t, _ in reviewed], pa.string()), Numbers(number, Spelling(), grow=True))
+    n_docs, df = document_frequencies(documents, list(number))
+    scored = materialize(raw_scores(documents, fit(reviewed, n_docs, df)))
+    marks = documents.sparkSession.createDataFrame([(d, m) for d, _, m in reviewed], f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, mark int")
+    points = scored.join(F.broadcast(marks), "doc_id").select("raw", "mark").collect()  # reviewed documents only
+    steps = calibration([(r.raw, r.mark) for r in points])
+    return scored.select("doc_id", _calibrated(F.col("raw"), steps).alias("score"), "passage", "example")
 
 
 def toxic_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, score, passage, example) of the documents whose score reaches the threshold."""
-    scores, cut = judged(documents, labels)
-    return scores.filter(F.col("score") >= cut)
+    """(doc_id, score, passage, example) of the documents that are more likely toxic than not."""
+    return judged(documents, labels).filter("score >= 0.5")
 
 
 def scored_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, source, score, toxic) of every document, null and empty texts included (score 0)."""
-    scores, cut = judged(documents, labels)
-    rows = documents.select("doc_id", "source").join(scores.select("doc_id", "score"), "doc_id", "left")
-    return rows.select("doc_id", "source", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"), (F.coalesce("score", F.lit(0.0)) >= cut).alias("toxic"))
+    scores = judged(documents, labels).select("doc_id", "score")
+    score = F.coalesce("score", F.lit(0.0))
+    rows = documents.select("doc_id", "source").join(scores, "doc_id", "left")
+    return rows.select("doc_id", "source", F.round(score, 6).alias("score"), (score >= 0.5).alias("toxic"))
 
 
 def rates(documents: DataFrame, labels: DataFrame) -> DataFrame:

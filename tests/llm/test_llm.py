@@ -5,6 +5,7 @@ import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -284,12 +285,46 @@ def test_held_out_accuracy(spark):
 def test_block_max_search_is_exact(seed):
     rng = np.random.default_rng(seed)
     vectors = [{int(t): float(w) for t, w in zip(rng.choice(40, 4, replace=False), rng.random(4), strict=True)} for _ in range(200)]
-    index = abuse.BlockMaxIndex(vectors, 40)
-    query = {int(t): float(w) for t, w in zip(rng.choice(40, 3, replace=False), rng.random(3), strict=True)}
-    ids, cos = index.nearest(query, 7)
-    every = sorted(((-sum(w * v.get(t, 0) for t, w in query.items()), i) for i, v in enumerate(vectors)))
-    want = [(i, -s) for s, i in every if s < 0][:7]
-    assert np.allclose([c for _, c in want], cos) and len(ids) == len(want)
+    owners = rng.integers(0, 5, 200)
+    index = abuse.BlockMaxIndex(vectors, 40, owners)
+    terms = np.stack([rng.choice(40, 3, replace=False) for _ in range(6)])
+    weights, docs = rng.random((6, 3)), np.array([0, 1, 2, 3, 4, -1])
+    ids, cos = index.nearest(terms, weights, 7, 0.3, docs)
+    for q in range(6):
+        every = sorted((-sum(w * v.get(int(t), 0) for t, w in zip(terms[q], weights[q], strict=True)), i) for i, v in enumerate(vectors) if owners[i] != docs[q])
+        want = [(i, -s) for s, i in every if -s >= 0.3 + 1e-6][:7]
+        assert np.allclose([c for _, c in want], cos[q][: len(want)], atol=1e-5) and (ids[q] >= 0).sum() >= len(want)
+        assert not (owners[ids[q][ids[q] >= 0]] == docs[q]).any()
+
+
+def test_bound_loses_no_neighbour():
+    """Every stretch within the radius of a positive example is among the passages that are searched."""
+    rows = posts(200, 12)
+    number = {}
+    abuse.numbered(pa.array([t for _, t, _ in rows]), abuse.Numbers(number, abuse.Spelling(), grow=True))
+    df = Counter(w for _, t, _ in rows for w in set(abuse.words(t, abuse.Spelling())))
+    model = abuse.fit(rows, len(rows), df)
+    judge = abuse.Judge(model.examples, model.weights)
+    ids, starts = abuse.numbered(pa.array([t for _, t, _ in posts(60, 13)]), model.numbers())
+    text, first, end = abuse.windows(ids, starts, judge.told)
+    near, _ = judge.nearest(ids, first, end, np.full(len(first), -1))
+    positive = ((near >= 0) & (judge.marks[near] > 0)).any(1)
+    kept = {(int(f), int(e)) for f, e in zip(*judge.passages(ids, starts)[1:], strict=True)}
+    assert positive.any() and {(int(f), int(e)) for f, e in zip(first[positive], end[positive], strict=True)} <= kept
+
+
+def test_words_are_numbered_per_text():
+    numbers = {}
+    texts = [None, "", "b0ca s o m e daqui", "a b", "c d e, fim", "  x\ny  "]
+    ids, starts = abuse.numbered(pa.array(texts, pa.string()), abuse.Numbers(numbers, abuse.Spelling(), grow=True))
+    names = {i: w for w, i in numbers.items()}
+    assert [[names[i] for i in ids[a:b]] for a, b in zip(starts, starts[1:], strict=False)] == [[], [], ["boca", "some", "daqui"], ["a", "b"], ["cde", "fim"], ["x", "y"]]
+
+
+def test_calibration_is_monotone_and_pooled():
+    steps = abuse.calibration([(0.2, 0), (0.3, 1), (0.4, 0), (0.8, 1), (0.9, 1)])
+    assert [s for s, _ in steps] == [0.2, 0.3, 0.8] and [p for _, p in steps] == sorted(p for _, p in steps)
+    assert abuse.calibration([]) == []
 
 
 def scanned_corpus():
