@@ -142,18 +142,26 @@ def valid_link(c: Column) -> Column:
     return c.rlike(r"^(?i:https?)://[^\p{Z}\s/?#.][^\p{Z}\s/?#]*\.[^\p{Z}\s/?#.][^\p{Z}\s/?#]*([/?#][^\p{Z}\s]*)?$")
 
 
-def valid_cnpj(c: Column) -> Column:
-    """Fourteen digits, plain or punctuated in the usual way, with right check digits (modulus 11)."""
+def cnpj_number(c: Column) -> Column:
+    """The fourteen digits of an identifier, plain or punctuated in the usual way, as a number; null for any other text."""
     shaped = c.rlike(r"^([0-9]{14}|[0-9]{2}\.[0-9]{3}\.[0-9]{3}/[0-9]{4}-[0-9]{2})$")
-    digits = F.regexp_replace(c, r"[^0-9]", "")
+    return F.when(shaped, F.translate(c, "./-", "").try_cast("long"))
+
+
+def right_digits(number: Column) -> Column:
+    """Whether both check digits of an identifier's number are right (modulus 11). Plain arithmetic on one long column."""
 
     def check(n: int) -> Column:
-        weights = [(n - 1 - i) % 8 + 2 for i in range(n)]
-        total = sum((F.substring(digits, i + 1, 1).cast("int") * w for i, w in enumerate(weights)), F.lit(0))
-        rest = total % 11
-        return F.when(rest < 2, 0).otherwise(11 - rest) == F.substring(digits, n + 1, 1).cast("int")
+        total = sum((F.pmod(F.call_function("div", number, F.lit(10 ** (13 - i))), F.lit(10)) * ((n - 1 - i) % 8 + 2) for i in range(n)), F.lit(0))
+        # 11 less the rest, where 10 and 11 stand for 0
+        return F.pmod(F.pmod(-total, F.lit(11)), F.lit(10)) == F.pmod(F.call_function("div", number, F.lit(10 ** (13 - n))), F.lit(10))
+
+    return check(12) & check(13)
+
 
-    return shaped & check(12) & check(13)
+def valid_cnpj(c: Column) -> Column:
+    """Fourteen digits, plain or punctuated in the usual way, with right check digits."""
+    return F.coalesce(right_digits(cnpj_number(c)), F.lit(False))
 
 
 def index_date(c: Column) -> Column:
@@ -169,32 +177,53 @@ def is_header(record: Column, columns: tuple[str, ...] = INDEX_COLUMNS, delimite
     return F.coalesce(plain == delimiter.join(columns).lower(), F.lit(False))
 
 
+def with_sound_fields(df: DataFrame, record: str, columns: tuple[str, ...], delimiter: str = ";") -> DataFrame:
+    """Adds ``_sound`` (whether the parse takes the record at no cost) and its fields as ``_f0``, ``_f1`` ..., all in the JVM.
+
+    A record without quotes is cut at its delimiters. One with quotes is cut by one pattern, field by field, once it is
+    known to be made of such fields only. The columns are projected step by step, so none is computed twice.
+    """
+    d, n = re.escape(delimiter), len(columns)
+    field = rf'"(?:[^"]++|"")*+"|[^"{d}]*+'
+    quoted = F.col(record).contains('"')
+    cut = F.when(quoted, F.regexp_extract_all(F.concat(F.lit(delimiter), record), F.lit(f"{d}({field})"), 1)).otherwise(F.split(record, d))
+    shaped = F.when(quoted, F.col(record).rlike(f"^(?:{field})(?:{d}(?:{field})){{{n - 1}}}\\z")).otherwise(F.size("_cut") == n)
+    out = df.withColumn("_cut", cut).withColumn("_sound", F.coalesce(shaped, F.lit(False)))
+    raw = out.select("*", *(F.when(F.col("_sound"), F.get("_cut", F.lit(i))).alias(f"_r{i}") for i in range(n)))
+    inner = lambda c: F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    unquoted = (F.when(F.col(f"_r{i}").startswith('"'), inner(F.col(f"_r{i}"))).otherwise(F.col(f"_r{i}")).alias(f"_f{i}") for i in range(n))
+    return raw.select(*df.columns, "_sound", *unquoted)
+
+
 def triage(df: DataFrame, record: str = "raw_record", columns: tuple[str, ...] = INDEX_COLUMNS, delimiter: str = ";") -> DataFrame:
-    """``df`` without header lines, with ``_parsed`` and ``_reason`` (null for records that load).
+    """``df`` without header lines, with ``_f0`` ... (fields), ``_edits``, ``_day`` and ``_reason`` (null for records that load).
 
-    Reasons, the first that holds: ``quoting``, ``columns``, ``value``. A null record has no fields: ``columns``; so has
-    an empty one. Extra columns pass through; ones named ``_parsed`` or ``_reason`` are replaced.
+    Records that the parse takes at no cost are recognised, cut and typed by JVM expressions; the dynamic programme sees
+    the others alone. Reasons, the first that holds: ``quoting``, ``columns``, ``value``. A null record has no fields:
+    ``columns``; so has an empty one. Extra columns pass through; ones of these names are replaced.
     """
-    rows = df.drop("_parsed", "_reason").filter(~is_header(F.col(record), columns, delimiter))
-    rows = rows.withColumn("_parsed", parse_records(F.col(record), len(columns), delimiter))
-    at = {name: blank_trim(F.col("_parsed.fields")[i]) for i, name in enumerate(columns)}
-    typed = valid_link(at["Link_Download"]) & valid_cnpj(at["CNPJ_Companhia"]) & index_date(at["Data_Referencia"]).isNotNull()
-    reason = (
-        F.when(F.col("_parsed.quote_cost") > 0, "quoting")
-        .when(F.col("_parsed.field_cost") > 0, "columns")
-        .when(~F.coalesce(typed, F.lit(False)), "value")
-    )
-    return rows.withColumn("_reason", reason)
+    own = ["_sound", "_reason", "_edits", "_day", "_cut", "_link", "_number", "_parsed", *(f"{x}{i}" for x in ("_r", "_f") for i in range(len(columns)))]
+    rows = df.drop(*own).filter(~is_header(F.col(record), columns, delimiter))
+    rows = with_sound_fields(rows, record, columns, delimiter)
+    trimmed = {name: blank_trim(F.col(f"_f{columns.index(name)}")) for name in ("Link_Download", "CNPJ_Companhia", "Data_Referencia")}
+    rows = rows.withColumns({"_link": trimmed["Link_Download"], "_number": trimmed["CNPJ_Companhia"], "_day": trimmed["Data_Referencia"]})
+    rows = rows.withColumns({"_link": valid_link(F.col("_link")), "_number": cnpj_number(F.col("_number")), "_day": index_date(F.col("_day"))})
+    rows = rows.withColumn("_parsed", parse_records(F.when(~F.col("_sound"), F.col(record)), len(columns), delimiter))
+    broken = F.when(F.col("_parsed.quote_cost") > 0, "quoting").otherwise("columns")
+    typed = F.col("_link") & right_digits(F.col("_number")) & F.col("_day").isNotNull()
+    reason = F.when(~F.col("_sound"), broken).when(~F.coalesce(typed, F.lit(False)), "value")
+    edits = F.when(~F.col("_sound"), F.col("_parsed.edits")).otherwise(F.lit(""))
+    return rows.withColumns({"_reason": reason, "_edits": edits}).drop("_parsed", "_link", "_number", "_sound")
 
 
 def load_index(df: DataFrame, record_id: str = "record_id", record: str = "raw_record") -> DataFrame:
     """Sound records as rows of the filing index: the id, the six fields and the reference date as a date."""
     good = triage(df, record).filter(F.col("_reason").isNull())
-    fields = [F.col("_parsed.fields")[i].alias(n.lower()) for i, n in enumerate(INDEX_COLUMNS)]
-    return good.select(record_id, *fields, index_date(blank_trim(F.col("_parsed.fields")[5])).alias("ref_date"))
+    fields = [F.col(f"_f{i}").alias(n.lower()) for i, n in enumerate(INDEX_COLUMNS)]
+    return good.select(record_id, *fields, F.col("_day").alias("ref_date"))
 
 
 def rejected(df: DataFrame, record_id: str = "record_id", record: str = "raw_record") -> DataFrame:
     """(id, reason, edits): unsound records apart, with the edits that would mend quoting and field count."""
     bad = triage(df, record).filter(F.col("_reason").isNotNull())
-    return bad.select(record_id, F.col("_reason").alias("reason"), F.col("_parsed.edits").alias("edits"))
+    return bad.select(record_id, F.col("_reason").alias("reason"), F.col("_edits").alias("edits"))

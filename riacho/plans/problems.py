@@ -36,10 +36,13 @@ _parts = "^" + ";".join(["""("(?:[^"]|"")*"|[^";]*)"""] * 6) + "$"
 _blank = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 
 
-def _value(i: int) -> str:
+def _plain(i: int) -> str:
     raw = f"regexp_extract(raw_record, '{_parts}', {i})"
-    plain = f"CASE WHEN starts_with({raw}, '\"') THEN replace(substring({raw}, 2, length({raw}) - 2), '\"\"', '\"') ELSE {raw} END"
-    return f"regexp_replace({plain}, '^{_blank}+|{_blank}+$', '', 'g')"
+    return f"CASE WHEN starts_with({raw}, '\"') THEN replace(substring({raw}, 2, length({raw}) - 2), '\"\"', '\"') ELSE {raw} END"
+
+
+def _value(i: int) -> str:
+    return f"regexp_replace({_plain(i)}, '^{_blank}+|{_blank}+$', '', 'g')"
 
 
 def _check_digit(n: int) -> str:
@@ -47,14 +50,16 @@ def _check_digit(n: int) -> str:
     return f"(CASE WHEN ({total}) % 11 < 2 THEN 0 ELSE 11 - ({total}) % 11 END) = substring(d, {n + 1}, 1)::int"
 
 
-_P1 = f"""WITH r AS (SELECT record_id, raw_record, coalesce({_sound}, true) AS sound, coalesce(length(regexp_replace(raw_record, '"([^"]|"")*"', '', 'g')) - length(replace(regexp_replace(raw_record, '"([^"]|"")*"', '', 'g'), ';', '')) + 1, 0) AS n
+_TRIAGED = f"""WITH r AS (SELECT record_id, raw_record, coalesce({_sound}, true) AS sound, coalesce(length(regexp_replace(raw_record, '"([^"]|"")*"', '', 'g')) - length(replace(regexp_replace(raw_record, '"([^"]|"")*"', '', 'g'), ';', '')) + 1, 0) AS n
     FROM ipe_raw WHERE coalesce(lower(regexp_replace(raw_record, '["\\p{{Z}}\\p{{C}}\\s]', '', 'g')) <> 'link_download;cnpj_companhia;nome_companhia;categoria;assunto;data_referencia', true)),
     v AS (SELECT *, {_value(1)} AS link, {_value(2)} AS c, {_value(6)} AS dt FROM r), w AS (SELECT *, regexp_replace(c, '[^0-9]', '', 'g') AS d,
       regexp_matches(c, '^([0-9]{{14}}|[0-9]{{2}}\\.[0-9]{{3}}\\.[0-9]{{3}}/[0-9]{{4}}-[0-9]{{2}})$') AS shaped,
       regexp_matches(link, '^(?i:https?)://[^\\p{{Z}}\\s/?#.][^\\p{{Z}}\\s/?#]*\\.[^\\p{{Z}}\\s/?#.][^\\p{{Z}}\\s/?#]*([/?#][^\\p{{Z}}\\s]*)?$') AS linked,
       CASE WHEN regexp_matches(dt, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN try_cast(dt AS date) WHEN regexp_matches(dt, '^[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}$') THEN try_cast(substring(dt, 7, 4) || '-' || substring(dt, 4, 2) || '-' || substring(dt, 1, 2) AS date) END AS day FROM v),
-    x AS (SELECT record_id, CASE WHEN NOT sound THEN 'quoting' WHEN n <> 6 THEN 'columns' WHEN NOT linked OR NOT shaped OR day IS NULL THEN 'value' WHEN NOT ({_check_digit(12)} AND {_check_digit(13)}) THEN 'value' END AS reason FROM w)
-    SELECT record_id, reason FROM x WHERE reason IS NOT NULL"""
+    x AS (SELECT *, CASE WHEN NOT sound THEN 'quoting' WHEN n <> 6 THEN 'columns' WHEN NOT linked OR NOT shaped OR day IS NULL THEN 'value' WHEN NOT ({_check_digit(12)} AND {_check_digit(13)}) THEN 'value' END AS reason FROM w)"""
+_P1 = f"{_TRIAGED} SELECT record_id, reason FROM x WHERE reason IS NOT NULL"
+_FIELDS = ", ".join(f"{_plain(i)} AS {name.lower()}" for i, name in enumerate(error_parse.INDEX_COLUMNS, 1))
+_P1_LOADED = f"{_TRIAGED} SELECT record_id, {_FIELDS}, day AS ref_date FROM x WHERE reason IS NULL"
 
 QUERIES = {"p1_found": p1_found, "p1_edits": p1_edits, "p1_loaded": p1_loaded, "p5_found": p5_found, "p5_records": p5_records}
-ORACLES: dict[str, str] = {"p1_found": _P1}
+ORACLES: dict[str, str] = {"p1_found": _P1, "p1_loaded": _P1_LOADED}

@@ -35,6 +35,26 @@ def test_sound_records_load_with_extra_columns_and_empty_tables(spark):
     assert P.rejected(df.limit(0)).count() == 0 and P.load_index(df.limit(0)).count() == 0
 
 
+def test_sound_cut_agrees_with_the_parse(spark):
+    rng = random.Random(3)
+    records = ["".join(rng.choices(['"', '""', ";", "a", "b c", "\n"], k=rng.randint(0, 9))) for _ in range(1500)] + [";;", '"";;""', '"' + ";" * 50_000 + '";a;b', '"' + '""' * 50_000 + '";a;b']
+    df = spark.createDataFrame(list(enumerate(records)), "id long, r string")
+    for row in P.with_sound_fields(df, "r", ("a", "b", "c")).collect():
+        want = P.split_sound(row.r)
+        assert row._sound == (want is not None and len(want) == 3)
+        assert not row._sound or [row._f0, row._f1, row._f2] == want
+
+
+def test_plan_is_compiled(spark):
+    """No expression of the triage is too large for generated code."""
+    df = spark.createDataFrame([(1, OK)], "record_id long, raw_record string")
+    plan = P.rejected(df)._jdf.queryExecution().executedPlan()
+    stages = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenStringSeq(plan)
+    assert stages.size() >= 1
+    for i in range(stages.size()):
+        assert stages.apply(i)._3().maxMethodCodeSize() > 0
+
+
 def brute_cost(record, n, alphabet='";', most=3):
     """Least number of insertions and deletions of quotes and delimiters, by breadth-first search."""
     sound = lambda r: (f := P.split_sound(r)) is not None and len(f) == n
