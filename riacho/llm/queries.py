@@ -1,10 +1,10 @@
-"""Queries over training text (p2 to p4, p6 to p9), with the SQL they are checked against."""
+"""Queries over training text (p2 to p9), with the SQL they are checked against."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riacho.llm import abuse, boilerplate, budget, encode, garble, leak, scans
+from riacho.llm import abuse, boilerplate, budget, encode, garble, leak, refine, scans
 from riacho.sources.tables import table
 
 
@@ -42,6 +42,15 @@ def p4_restored(spark, folder):
     return garble.garbled_rows(table(spark, folder, "ipe"), table(spark, folder, "documents"))
 
 
+def p5_found(spark, folder):
+    return refine.copies(table(spark, folder, "clean"))
+
+
+def p5_records(spark, folder):
+    clean = table(spark, folder, "clean")
+    return refine.collapse(clean, "row_id", "source", "dataset").select("row_id", "sentiment", "source", "dataset", F.col("n_copies").cast("long").alias("n_copies"))
+
+
 def p6_budget(spark, folder):
     return budget.corpus_budget(table(spark, folder, "documents"))
 
@@ -78,7 +87,7 @@ def p9_rates(spark, folder):
     return abuse.rates(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p3_corrections": p3_corrections, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p2_found": p2_found, "p2_blocks": p2_blocks, "p2_clean": p2_clean, "p4_found": p4_found, "p4_restored": p4_restored, "p6_budget": p6_budget, "p6_labelled": p6_labelled, "p6_documents": p6_documents, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans}
+QUERIES = {"p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p3_corrections": p3_corrections, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p2_found": p2_found, "p2_blocks": p2_blocks, "p2_clean": p2_clean, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_records": p5_records, "p6_budget": p6_budget, "p6_labelled": p6_labelled, "p6_documents": p6_documents, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans}
 _WS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 
 P2 = f"""WITH l AS (SELECT doc_id, coalesce(source, '') AS s, unnest(string_split(text, chr(10))) AS raw, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL),
