@@ -1,10 +1,8 @@
-"""Queries of the general data problems (p1, p5)."""
+"""Queries of the general data problem (p1)."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from riacho.operators import error_parse, refine
+from riacho.operators import error_parse
 from riacho.sources.tables import table
 
 
@@ -20,15 +18,6 @@ def p1_loaded(spark, folder):
     return error_parse.load_index(table(spark, folder, "ipe_raw"))
 
 
-def p5_found(spark, folder):
-    return refine.copies(table(spark, folder, "clean"))
-
-
-def p5_records(spark, folder):
-    clean = table(spark, folder, "clean")
-    return refine.collapse(clean, "row_id", "source", "dataset").select("row_id", "sentiment", "source", "dataset", F.col("n_copies").cast("long").alias("n_copies"))
-
-
 # Sound quoting as one pattern; the six fields of a sound record; blanks around a value ignored.
 _field = """("([^"]|"")*"|[^";]*)"""
 _sound = f"regexp_full_match(raw_record, '{_field}(;{_field})*')"
@@ -61,5 +50,5 @@ _P1 = f"{_TRIAGED} SELECT record_id, reason FROM x WHERE reason IS NOT NULL"
 _FIELDS = ", ".join(f"{_plain(i)} AS {name.lower()}" for i, name in enumerate(error_parse.INDEX_COLUMNS, 1))
 _P1_LOADED = f"{_TRIAGED} SELECT record_id, {_FIELDS}, day AS ref_date FROM x WHERE reason IS NULL"
 
-QUERIES = {"p1_found": p1_found, "p1_edits": p1_edits, "p1_loaded": p1_loaded, "p5_found": p5_found, "p5_records": p5_records}
+QUERIES = {"p1_found": p1_found, "p1_edits": p1_edits, "p1_loaded": p1_loaded}
 ORACLES: dict[str, str] = {"p1_found": _P1, "p1_loaded": _P1_LOADED}

@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows a side may have to be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes a side may have to be broadcast; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 #: Parts into which every key of a salted lookup is spread.
 SALTS = 64
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where the setting is missing (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one only where all tasks run in the driver (tests).
+
+    On a cluster without the setting this raises: a folder of one machine would not survive it, nor be seen by others.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return sc._jsc.sc().getCheckpointDir().get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="riacho-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -29,16 +36,43 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """``df`` materialised, and whether it may be broadcast: it then has at most ``max_rows`` rows and bears the hint.
+def _bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes."""
+    total = F.lit(16)
+    for f in df.schema:
+        if isinstance(f.dataType, T.StringType | T.BinaryType):
+            total = total + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) + 8
+        elif isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))), F.lit(0))
+        else:
+            total = total + 8
+    return total.cast("long")
+
+
+def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a materialised side has at most so many rows and bytes; reads no more than ``max_rows`` of them."""
+    n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(_bytes(df)), F.lit(0))).first()
+    return n <= max_rows and size <= max_bytes
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """``df`` materialised, and whether it may be broadcast: it then is small in rows and bytes and bears the hint.
 
     A larger one comes back without the hint; the caller shuffles, and salts if a key can be hot.
     """
     kept = materialize(df)
-    small = kept.limit(max_rows + 1).count() <= max_rows
+    small = small_enough(kept, max_rows, max_bytes)
     return (F.broadcast(kept) if small else kept), small
 
 
+def salted_join(left: DataFrame, right: DataFrame, small: bool, keys: list[str], unique: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
+    """Join with a side that has each key once; where that side is too large to broadcast, hot keys of ``left`` are salted."""
+    if small:
+        return left.join(F.broadcast(right), keys, how)
+    many = right.withColumn("_salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    return left.withColumn("_salt", F.pmod(F.xxhash64(*unique), F.lit(salts)).cast("int")).join(many, [*keys, "_salt"], how).drop("_salt")
+
+
 def salt_of(unique: Column, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(unique), F.lit(salts)).cast("int")
 
