@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riacho.llm import encode, pieces
-from riacho.scale import checked_broadcast
+from riacho.scale import checked_broadcast, materialize, salted_join
 
 #: Parts of a piece's rows where its lengths are not broadcast.
 SALTS = 16
@@ -75,13 +75,9 @@ def token_totals(df: DataFrame, text: str, keys: list[str], ranks: str = f"{enco
     Null keys form slices of their own; so do keys that differ in case (normalise them before). Null and empty texts have
     no tokens and are counted apart; a blank text is text. An empty table gives no slice.
     """
-    cached = piece_frequencies(df, text, keys)
+    cached = materialize(piece_frequencies(df, text, keys))  # the texts are split once
     lengths, small = checked_broadcast(piece_lengths(cached.select("piece").distinct(), ranks))
-    if not small:
-        salted = cached.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")) if keys else cached.withColumn("salt", F.lit(0))
-        joined = salted.join(lengths.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))), ["piece", "salt"])
-    else:
-        joined = cached.join(lengths, "piece")
+    joined = salted_join(cached, lengths, small, ["piece"], keys or ["n"], salts=SALTS)
     tokens = joined.groupBy(*keys).agg(F.sum(F.col("n") * F.col("n_tokens")).alias("n_tokens"))
     docs = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_docs"),
@@ -116,5 +112,29 @@ def labelled_budget(clean: DataFrame, ranks: str = f"{encode.TOKENIZERS}/byte_bp
 
 
 def document_tokens(documents: DataFrame, ranks: str = f"{encode.TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
-    """(doc_id, n_tokens) of each document; documents of equal id are summed."""
-    return token_totals(documents.select("doc_id", "text"), "text", ["doc_id"], ranks).select("doc_id", "n_tokens")
+    """(doc_id, n_tokens) of each document; documents of equal id are summed, null and empty texts have 0.
+
+    A document has about as many rows as pieces here, so lengths are summed where the text is read: each worker tokenises
+    a piece once and remembers its length. Only one number per row is shuffled.
+    """
+    file = encode.ship(documents.sparkSession, ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        exact = encode.load_ranks(SparkFiles.get(file))
+        known: dict[str, int] = {}
+
+        def length(chunk: str) -> int:
+            n = known.get(chunk)
+            if n is None:
+                if len(known) >= encode.MEMORY_WORDS:
+                    known.clear()
+                n = known[chunk] = sum(len(encode.merge(exact, p)) for p in pieces.split_text(chunk))
+            return n
+
+        for batch, texts in pieces.slices(batches, "text"):
+            counts = [sum(map(length, pieces.chunks(t))) if t else 0 for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    each = documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint")
+    return each.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"))

@@ -56,6 +56,7 @@ def ship_bytes(spark: SparkSession, name: str, data: bytes) -> str:
     out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
     out.write(bytearray(data))
     out.close()
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     spark.sparkContext.addFile(path.toString())
     return path.getName()
 
