@@ -126,6 +126,17 @@ def test_multi_line_blocks_are_found(spark):
     assert {(r.from_line, r.n_lines) for r in b.spans().collect()} == {(2, 3), (3, 2), (4, 1)}
 
 
+@pytest.mark.parametrize("shard", [3, 20_000])
+def test_blocks_of_any_length(spark, monkeypatch, shard):
+    """A notice of seventy lines comes out whole, counted over all shards."""
+    monkeypatch.setattr(boilerplate, "SHARD_SEQUENCES", shard)
+    notice = "\n".join(f"cláusula geral do aviso {'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(70))
+    rows = [(i, "a", f"texto próprio {i}\n{notice}" + ("\ncláusula geral do aviso aa" * (i % 4))) for i in range(24)]
+    b = boilerplate.Boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    sizes = {(r.n, r.n_docs) for r in b.blocks.select(F.size("block").alias("n"), "n_docs").collect()}
+    assert (70, 24) in sizes and (71, 18) in sizes and (73, 6) in sizes and max(sizes)[0] == 73
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=30))
 def test_suffix_array_and_prefixes(symbols):
