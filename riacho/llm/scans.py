@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riacho.llm import pieces
-from riacho.scale import checked_broadcast, materialize
+from riacho.scale import checked_broadcast, materialize, salted_join
 
 # What a scanner reads -> what is printed.
 CONFUSIONS = {
@@ -118,7 +118,7 @@ def layout(text: str) -> list[tuple[int, str, int, str]]:
         rest, marked, number = marks[i]
         if number is not None and (marked or not rest and (i in in_order or "\x0c" in lines[i] or i == filled[-1]) and (number or len(lines[i].strip("\x0c ")) <= 6)):
             sure[i] = 1
-    patterns = {i: pattern(marks[i][0] if marks[i][2] is not None and marks[i][0] else lines[i]) for i in filled if len(lines[i]) <= WIDEST + 40}
+    patterns = {i: pattern(marks[i][0] if marks[i][2] is not None and marks[i][0] else lines[i]) for i in filled}
     heads = {i: p for i, p in patterns.items() if sure[i] != 1 and _may_head(lines[i], p)}
     order = {i: k for k, i in enumerate(filled)}
 
@@ -140,26 +140,28 @@ def word_of(token: str) -> str:
     """Lower-case word without outer punctuation; empty for tokens with more digits than letters."""
     w = token.strip(_STRIP).lower()
     letters = sum(c.isalpha() for c in w)
-    return w if letters and letters >= sum(c.isdigit() for c in w) and len(w) <= 60 else ""
+    return w if letters and letters >= sum(c.isdigit() for c in w) else ""
 
 
-_SCHEMA = "kind string, doc_id bigint, line_no bigint, word string, other string, n bigint"
+_LINES = "array<struct<no: bigint, line: string, sure: int, pattern: string>>"
+_ARROW_LINES = pa.list_(pa.struct([("no", pa.int64()), ("line", pa.string()), ("sure", pa.int32()), ("pattern", pa.string())]))
 
 
 def read_layout(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows of several kinds: ``count`` (word, n per batch, all texts), and of hard-wrapped texts ``line`` (word = text,
-    other = pattern, n = sure)."""
+    """(doc_id, lines) of each hard-wrapped text, and (word, n) of all texts, counted per batch; other columns null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, str] = {}
         for batch, texts in pieces.slices(batches, "text", 4_000_000):
             tokens: Counter = Counter()
-            out: list[tuple] = []
+            docs, layouts = [], []
             for doc, t in zip(batch.column(0).to_pylist(), texts, strict=True):
                 if not t:
                     continue
                 tokens.update(t.split())
-                out += (("line", doc, no, x, p, sure) for no, x, sure, p in layout(t))
+                if lines := layout(t):
+                    docs.append(doc)
+                    layouts.append([{"no": no, "line": x, "sure": sure, "pattern": p} for no, x, sure, p in lines])
             words: Counter = Counter()
             for token, n in tokens.items():
                 w = known.get(token)
@@ -169,12 +171,17 @@ def read_layout(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
                     w = known[token] = word_of(token)
                 if w:
                     words[w] += n
-            out += (("count", None, None, w, None, n) for w, n in words.items())
-            columns = list(zip(*out, strict=True)) if out else [()] * 6
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["kind", "doc_id", "line_no", "word", "other", "n"])
+            none = [None] * len(words)
+            arrays = [
+                pa.array(docs + none, pa.int64()),
+                pa.array(layouts + none, _ARROW_LINES),
+                pa.array([None] * len(docs) + list(words), pa.string()),
+                pa.array([None] * len(docs) + list(words.values()), pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lines", "word", "n"])
 
-    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _SCHEMA)
+    schema = f"doc_id bigint, lines {_LINES}, word string, n bigint"
+    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def anagram(word: Column) -> Column:
@@ -203,7 +210,7 @@ def corrections(words: DataFrame, rare: DataFrame) -> DataFrame:
         F.transform(
             F.sequence(F.lit(1), F.length("word")),
             lambda p: (F.substring(F.col("word"), p, F.length("wrong")) == F.col("wrong"))
-            & (F.concat(F.substring(F.col("word"), F.lit(1), p - 1), F.col("right"), F.substring(F.col("word"), p + F.length("wrong"), F.lit(1000))) == F.col("variant")),
+            & (F.concat(F.substring(F.col("word"), F.lit(1), p - 1), F.col("right"), F.substring(F.col("word"), p + F.length("wrong"), F.length("word"))) == F.col("variant")),
         ),
         True,
     )
@@ -218,42 +225,50 @@ class ScannedPages:
     """Findings on the hard-wrapped texts of ``documents``.
 
     Lines are numbered from 1 between line feeds. Null and empty texts have no findings; repeated rows of a document give
-    each finding once. Extra columns are ignored.
+    each finding once, and a document that occurs with several texts has those of each. Extra columns are ignored. The
+    lines of a document stay together in one row; only words, patterns and findings are shuffled.
     """
 
     def __init__(self, documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> None:
         self.documents, self.doc_id, self.text = documents, doc_id, text
         read = materialize(read_layout(documents, doc_id, text))
-        self.words = read.filter("kind = 'count'").groupBy("word").agg(F.sum("n").alias("n"))
-        lines = read.filter("kind = 'line'").select("doc_id", "line_no", F.col("word").alias("line"), F.col("other").alias("pattern"), F.col("n").alias("sure")).dropDuplicates(["doc_id", "line_no"])
+        self.words = materialize(read.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n")))
+        docs = read.filter("lines is not null").select("doc_id", "lines").withColumn("copy", F.xxhash64("lines"))
         # A pattern that recurs at page edges of several documents is furniture wherever it heads or ends a text.
-        per_doc = lines.filter("pattern != ''").groupBy("pattern", "doc_id").agg(F.max((F.col("sure") > 0).cast("int")).alias("edge"))
+        marked = docs.select("doc_id", "copy", F.explode(F.filter("lines", lambda x: x["pattern"] != "")).alias("x")).select("doc_id", "copy", "x.no", "x.sure", "x.pattern")
+        per_doc = marked.groupBy("pattern", "doc_id").agg(F.max((F.col("sure") > 0).cast("int")).alias("edge"))
         learnt = per_doc.groupBy("pattern").agg(F.count(F.lit(1)).alias("docs"), F.sum("edge").alias("edges"))
-        learnt = learnt.filter((F.col("edges") >= EDGE_DOCS) & (F.col("edges") >= EDGE_SHARE * F.col("docs"))).select("pattern", F.lit(True).alias("learnt"))
-        learnt, _ = checked_broadcast(learnt)
-        lines = lines.join(learnt, "pattern", "left")
-        furniture = (F.col("sure") > 0) | F.coalesce("learnt", F.lit(False))
-        self.lines = materialize(lines.select("doc_id", "line_no", "line", furniture.alias("furniture")))
-        self.broken = materialize(self._hyphens())
-        self.fixes = materialize(self._misread())
+        learnt = learnt.filter((F.col("edges") >= EDGE_DOCS) & (F.col("edges") >= EDGE_SHARE * F.col("docs"))).select("pattern")
+        learnt, small = checked_broadcast(learnt)
+        known = salted_join(marked.filter("sure = 0"), learnt, small, ["pattern"], ["doc_id", "no"])
+        known, small = checked_broadcast(known.groupBy("doc_id", "copy").agg(F.collect_set("no").alias("known")))
+        docs = docs.join(F.broadcast(known) if small else known, ["doc_id", "copy"], "left")
+        furniture = lambda x: (x["sure"] > 0) | F.coalesce(F.array_contains("known", x["no"]), F.lit(False))
+        lines = F.transform("lines", lambda x: F.struct(x["no"].alias("no"), x["line"].alias("line"), furniture(x).alias("furniture")))
+        self.docs = materialize(docs.select("doc_id", lines.alias("lines")))
+        self.running = self.docs.select("doc_id", F.filter("lines", lambda x: ~x["furniture"]).alias("lines"))
+        self.broken = materialize(self._hyphens().distinct())
+        self.fixes = materialize(self._misread().distinct())
 
     def _hyphens(self) -> DataFrame:
         """(doc_id, line_no, next_no, a, b, joined?): line ends with a hyphen and what goes on in the next running line."""
-        order = Window.partitionBy("doc_id").orderBy("line_no")
-        running = self.lines.filter(~F.col("furniture") & (F.trim(F.regexp_replace("line", r"[\x0c\r]", "")) != ""))
-        running = running.select("doc_id", "line_no", F.regexp_replace("line", r"[\s\x0c]+$", "").alias("line"))
-        after = running.withColumn("next", F.lead("line").over(order)).withColumn("next_no", F.lead("line_no").over(order))
-        ends = after.filter(F.col("line").rlike(rf"\p{{L}}[{HYPHENS}]$") & F.col("next").rlike(r"^\s*[\p{Ll}@0-9]"))
+        filled = self.running.select("doc_id", F.filter("lines", lambda x: F.trim(F.regexp_replace(x["line"], r"[\x0c\r]", "")) != "").alias("lines"))
+        ends = filled.select("doc_id", F.explode(F.transform("lines", lambda x, i: F.struct(x["no"].alias("no"), x["line"].alias("line"), F.get(F.col("lines"), i + 1).alias("after")))).alias("x"))
+        ends = ends.select("doc_id", F.col("x.no").alias("line_no"), F.col("x.after.no").alias("next_no"), F.regexp_replace("x.line", r"[\s\x0c]+$", "").alias("line"), F.col("x.after.line").alias("next"))
+        ends = ends.filter(F.col("line").rlike(rf"\p{{L}}[{HYPHENS}]$") & F.col("next").rlike(r"^\s*[\p{Ll}@0-9]"))
         ends = ends.select(
             "doc_id", "line_no", "next_no",
             F.lower(F.regexp_extract("line", rf"([^\s(\"“«/]+)[{HYPHENS}]$", 1)).alias("a"),
             F.lower(F.regexp_extract("next", r"^\s*(\S+?)[.,;:()\"'!?«»“”…]*(\s|$)", 1)).alias("b"),
-            F.substring("line", -1, 1).alias("mark"),
         )
+        ends = materialize(ends)
         counts = self.words.select("word", "n")
-        whole = counts.select(F.col("word").alias("_w"), F.col("n").alias("n_whole"))
-        split = counts.select(F.col("word").alias("_s"), F.col("n").alias("n_split"))
-        tried = ends.join(whole, F.concat("a", "b") == F.col("_w"), "left").join(split, F.concat_ws("-", "a", "b") == F.col("_s"), "left")
+        asked = ends.select(F.explode(F.array(F.concat("a", "b"), F.concat_ws("-", "a", "b"))).alias("word")).distinct()
+        counts, small = checked_broadcast(counts.join(asked, "word", "left_semi"))
+        whole = counts.withColumnRenamed("n", "n_whole")
+        split = counts.withColumnRenamed("n", "n_split")
+        tried = salted_join(ends.withColumn("word", F.concat("a", "b")), whole, small, ["word"], ["doc_id", "line_no"], "left").drop("word")
+        tried = salted_join(tried.withColumn("word", F.concat_ws("-", "a", "b")), split, small, ["word"], ["doc_id", "line_no"], "left").drop("word")
         n_whole, n_split = F.coalesce("n_whole", F.lit(0)), F.coalesce("n_split", F.lit(0))
         joined = F.when((n_whole > 0) | (n_split > 0), n_whole > n_split).otherwise(F.lit(True))
         return tried.select("doc_id", "line_no", "next_no", "a", "b", joined.alias("joined"))
@@ -261,27 +276,27 @@ class ScannedPages:
     def _misread(self) -> DataFrame:
         """(doc_id, line_no, word, right) of misread words in running lines; halves of a broken word on their lines."""
         halves = self.broken.select("doc_id", "line_no", "next_no", "a", "b", F.when(F.col("joined"), F.concat("a", "b")).otherwise(F.concat_ws("-", "a", "b")).alias("word"))
-        tokens = self.lines.filter(~F.col("furniture")).select("doc_id", "line_no", F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace("line", r"[\x0c\r]", "")), r"\s+"))).alias("token"))
+        lines = self.running.select("doc_id", F.explode("lines").alias("x"))
+        tokens = lines.select("doc_id", F.col("x.no").alias("line_no"), F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace("x.line", r"[\x0c\r]", "")), r"\s+"))).alias("token"))
         edge = re.escape(_STRIP).replace("/", r"\/")
-        tokens = tokens.withColumn("word", F.regexp_replace("token", rf"^[{edge}]+|[{edge}]+$", "")).filter(F.col("word").rlike(r"\p{L}"))
-        whole = tokens.select("doc_id", "line_no", "word")
-        counts = self.words
+        whole = tokens.select("doc_id", "line_no", F.regexp_replace("token", rf"^[{edge}]+|[{edge}]+$", "").alias("word")).filter(F.col("word").rlike(r"\p{L}"))
         extra = halves.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-        counts = counts.unionByName(extra).groupBy("word").agg(F.sum("n").alias("n"))
+        counts = self.words.unionByName(extra).groupBy("word").agg(F.sum("n").alias("n"))
         rare = whole.select("word").unionByName(halves.select("word")).distinct()
         fixes, small = checked_broadcast(corrections(counts, rare))
-        del small
-        plain = whole.join(fixes, "word").select("doc_id", "line_no", "word", "right")
+        # Cut here, else the anti-join below would move under the join with the fixes and shuffle every word.
+        plain = materialize(salted_join(whole, fixes.drop("at"), small, ["word"], ["doc_id", "line_no"]).select("doc_id", "line_no", "word", "right"))
         # A half of a broken word is no word of its own.
         ends = self.broken.select("doc_id", "line_no", F.col("a").alias("word")).unionByName(self.broken.select("doc_id", F.col("next_no").alias("line_no"), F.col("b").alias("word")))
         plain = plain.join(ends, ["doc_id", "line_no", "word"], "left_anti")
-        broken = halves.join(fixes, "word").select("doc_id", F.when(F.col("at") < F.length("a"), F.col("line_no")).otherwise(F.col("next_no")).alias("line_no"), "word", "right")
+        broken = salted_join(halves, fixes, small, ["word"], ["doc_id", "line_no"])
+        broken = broken.select("doc_id", F.when(F.col("at") < F.length("a"), F.col("line_no")).otherwise(F.col("next_no")).alias("line_no"), "word", "right")
         return plain.unionByName(broken)
 
     def findings(self) -> DataFrame:
         """(doc_id, line_no, kind): furniture, hyphen and char, each once per line."""
         parts = (
-            self.lines.filter("furniture").select("doc_id", "line_no", F.lit("furniture").alias("kind")),
+            self.docs.select("doc_id", F.explode(F.filter("lines", lambda x: x["furniture"])).alias("x")).select("doc_id", F.col("x.no").alias("line_no"), F.lit("furniture").alias("kind")).distinct(),
             self.broken.filter("joined").select("doc_id", "line_no", F.lit("hyphen").alias("kind")),
             self.fixes.select("doc_id", "line_no", F.lit("char").alias("kind")).distinct(),
         )
@@ -291,13 +306,12 @@ class ScannedPages:
     def paragraphs(self) -> DataFrame:
         """(doc_id, text) of the hard-wrapped texts as continuous paragraphs, repaired."""
         fixes = self.fixes.groupBy("doc_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("word", "right")))).alias("fixes"))
-        joins = self.broken.groupBy("doc_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct(F.col("line_no").cast("string"), "joined")))).alias("joins"))
-        body = self.lines.filter(~F.col("furniture")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
-        rows = body.join(fixes, "doc_id", "left").join(joins, "doc_id", "left")
+        joins = self.broken.groupBy("doc_id", "line_no").agg(F.max("joined").alias("joined")).groupBy("doc_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct(F.col("line_no").cast("string"), "joined")))).alias("joins"))
+        rows = self.running.dropDuplicates(["doc_id", "lines"]).join(fixes, "doc_id", "left").join(joins, "doc_id", "left")
 
         @F.pandas_udf("string")
         def flow(lines: pd.Series, fixes: pd.Series, joins: pd.Series) -> pd.Series:
-            return pd.Series([reflow([(x["line_no"], x["line"]) for x in a], dict(b or {}), dict(c or {})) for a, b, c in zip(lines, fixes, joins, strict=True)])
+            return pd.Series([reflow([(x["no"], x["line"]) for x in a], dict(b or {}), dict(c or {})) for a, b, c in zip(lines, fixes, joins, strict=True)])
 
         return rows.select(F.col("doc_id").alias(self.doc_id), flow("lines", "fixes", "joins").alias("text"))
 
