@@ -20,13 +20,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Encodings by which bytes are read wrongly.
-CODECS = ("cp1252", "cp850", "cp437", "cp1251", "mac_roman", "iso8859_15")
-#: Single-byte encodings in which such bytes were meant.
-MEANT = ("cp1252",)
+CODECS = ("cp1252", "cp850", "cp437", "cp1251", "cp1250", "mac_roman", "iso8859_15")
+#: Single-byte encodings in which such bytes were meant; the first is that of most texts.
+MEANT = ("cp1252", "cp1250")
+#: Ones of other scripts: only a word without any ASCII letter can have been meant in them.
+FOREIGN = ("cp1251", "cp1253")
+#: Letters such a word has at least.
+FOREIGN_LETTERS = 4
 #: What the cost must fall by for a stretch to count.
 MARGIN = 1.0
-#: Cost of a step, of one between single-byte encodings, and states visited per stretch at most; a stretch is one word, so more are never needed in practice.
-STEP, BYTE_STEP, STATES = 0.3, 0.5, 400
+#: Cost of a step, and of one between single-byte encodings.
+STEP, BYTE_STEP = 0.3, 0.5
+#: Cost of an escape that stands for a character beyond ASCII, and of a character that no sound text is left with.
+ESCAPED, UNSOUND = 2.0, 1.3
 
 REPLACEMENT = "�"
 _SYMBOLS = frozenset("¡¢£¤¥¦§¨©«¬¯°±²³´¶·¸¹»¼½¾¿×÷ƒ†‡•…‰‹›€™‚„“”‘’–—˜ˆ√≠≤≥∞∂∑∏π∫Ω≈∆◊⁄ﬂµ®ªº◊ı˘˙˚˝˛ˇŒœŠšŽžŸ")
@@ -40,6 +46,15 @@ _USUAL = frozenset("áàâãéêíóôõúüçñÁÀÂÃÉÊÍÓÔÕÚÜÇÑ")
 _OPEN, _CLOSE = frozenset("¡¿«“‘£€°§•–—©±"), frozenset("¬…”’»—–")
 
 
+_ESCAPE = re.compile(r"&(?:#[0-9]{2,7}|#[xX][0-9a-fA-F]{2,6}|[A-Za-z]{2,8}[0-9]{0,2});|\\u[0-9a-fA-F]{4}")
+
+
+def _unescaped(m: re.Match) -> str:
+    """The character of an escape, if it is one letter or sign beyond ASCII; else the escape itself."""
+    out = chr(int(m.group()[2:], 16)) if m.group()[0] == "\\" else html.unescape(m.group())
+    return m.group() if out.isascii() or len(out) > 1 or 0xD800 <= ord(out) < 0xE000 else out
+
+
 def _suspect() -> str:
     """A pattern (of the JVM) that every text with a stretch of cost 1 or more matches; what it refuses cannot be changed.
 
@@ -67,7 +82,8 @@ def _suspect() -> str:
         *(x for own in (r"\u0370-\u03ff", r"\u0400-\u052f") for x in (rf"(?<=[\p{{L}}&&[^{own}]])[{own}]", rf"[{own}](?=[\p{{L}}&&[^{own}]])")),
         rf"{odd}(?=[^\x00-\x20]*{odd})",
     ]
-    return rf"(?=[^\x00-\x7f{''.join(sorted(c for c in _USUAL - {'ñ'} if c.islower()))}])(?:{'|'.join(parts)})"
+    usual_small = "".join(sorted(c for c in _USUAL - {"ñ"} if c.islower()))
+    return rf"(?=[^\x00-\x7f{usual_small}])(?:{'|'.join(parts)})|{_ESCAPE.pattern}"
 
 
 SUSPECT = _suspect()
@@ -87,10 +103,23 @@ def _script(c: str) -> str:
 @lru_cache(100_000)
 def cost(text: str) -> float:
     """How implausible the characters of ``text`` are beside their neighbours; 0 for sound text."""
-    total = 0.0
+    return sum(_costs(text))
+
+
+@lru_cache(100_000)
+def sound(text: str) -> bool:
+    """Whether no character is implausible by itself; letters that are only rare here do not count."""
+    return all(x < UNSOUND for x in _costs(text))
+
+
+def _costs(text: str) -> Iterator[float]:
+    """Cost of each character beyond ASCII and of each escape."""
+    if "&" in text or "\\u" in text:
+        yield sum(ESCAPED for m in _ESCAPE.finditer(text) if _unescaped(m) != m.group())
     for i, c in enumerate(text):
         if c.isascii():
             continue
+        total = 0.0
         before, after = text[i - 1] if i else " ", text[i + 1] if i + 1 < len(text) else " "
         o = ord(c)
         if c == REPLACEMENT:
@@ -125,7 +154,7 @@ def cost(text: str) -> float:
             total += 2
         elif c == "\xa0" and before in "ÃÂ":
             total += 2
-    return total
+        yield total
 
 
 @lru_cache(None)
@@ -170,38 +199,50 @@ def _neighbours(text: str) -> Iterator[tuple[str, str]]:
         for meant in MEANT:
             if codec not in (meant, "iso8859_15"):
                 yield f"{codec}>{meant}", _as_bytes(text, codec, meant)
-    if "&" in text:
-        yield "unescape", html.unescape(text)
-    if "\\u" in text:
-        yield "unescape", re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), text)
+    letters = [c for c in text if c.isalpha()]
+    if len(letters) >= FOREIGN_LETTERS and not any(c.isascii() for c in letters):
+        for meant in FOREIGN:
+            yield f"cp1252>{meant}", _as_bytes(text, "cp1252", meant)
+    if "&" in text or "\\u" in text:
+        yield "unescape", _ESCAPE.sub(_unescaped, text)
+
+
+def _goes_on(text: str, other: str) -> bool:
+    """Whether a step may be taken: it shortens the text, makes it cheaper or opens a sequence of UTF-8.
+
+    Such steps cannot go round for ever, so the search ends by itself however often a text was misread.
+    """
+    return len(other) < len(text) or cost(other) < cost(text) or _as_utf8(other, "cp1252") != other
 
 
 @lru_cache(200_000)
 def repair(stretch: str) -> tuple[str, tuple[str, ...]]:
-    """(cheapest text reachable from ``stretch``, operations that lead to it); unchanged if nothing is clearly better."""
+    """(cheapest text reachable from ``stretch``, operations that lead to it); unchanged if nothing is clearly better.
+
+    Best-first by the cost of a text and of the steps to it. A text whose steps alone cost as much as the best one found
+    leads to nothing better; there is no other limit.
+    """
     start = cost(stretch)
-    if start == 0:
+    if start < MARGIN:
         return stretch, ()
     best, best_cost, best_path = stretch, start, ()
-    queue: list[tuple[float, int, str, tuple[str, ...]]] = [(start, 0, stretch, ())]
+    queue: list[tuple[float, int, float, str, tuple[str, ...]]] = [(start, 0, 0.0, stretch, ())]
     seen, n = {hash(stretch)}, 0
-    while queue and n < STATES:
-        now, _, text, path = heappop(queue)
+    while queue:
+        now, _, steps, text, path = heappop(queue)
         if now < best_cost:
             best, best_cost, best_path = text, now, path
-        if best_cost <= now and cost(best) <= 0.1:
-            break
         for name, other in _neighbours(text):
-            if hash(other) in seen or REPLACEMENT in other and REPLACEMENT not in text or len(path) > 2:
+            step = steps + (STEP if name.endswith("utf-8") or name == "unescape" else BYTE_STEP)
+            if step >= best_cost or hash(other) in seen or REPLACEMENT in other and REPLACEMENT not in text or not _goes_on(text, other):
                 continue
             seen.add(hash(other))
             n += 1
-            steps = sum(STEP if p.endswith("utf-8") or p == "unescape" else BYTE_STEP for p in (*path, name))
-            heappush(queue, (cost(other) + steps, n, other, (*path, name)))
+            heappush(queue, (cost(other) + step, n, step, other, (*path, name)))
     return (best, best_path) if start - best_cost >= MARGIN else (stretch, ())
 
 
-_STRETCH = re.compile(r"[^\x00-\x20]*[^\x00-\x7f][^\x00-\x20]*")
+_STRETCH = re.compile(rf"[^\x00-\x20]*(?:[^\x00-\x7f]|{_ESCAPE.pattern})[^\x00-\x20]*")
 #: Short words that are whole stretches beyond ASCII, so that only the rest of the row tells how they were read.
 _SHORT = frozenset(("é", "à", "É", "À", "ó", "–", "í"))
 
@@ -211,36 +252,41 @@ def restore(text: str | None) -> tuple[str | None, bool, bool]:
 
     Every stretch is searched by itself first. The changes of encoding found then hold for the whole row: sequences that
     are well-formed UTF-8 under them are decoded everywhere, and of single-byte encodings the one that makes the row
-    cheapest is taken for all its implausible stretches.
+    cheapest is taken for all its implausible stretches. A stretch that does not become sound comes out as it was.
     """
-    if not text or text.isascii():
+    if not text or text.isascii() and not _ESCAPE.search(text):
         return text, False, True
     found = [m.group() for m in _STRETCH.finditer(text)]
     paths = {s: repair(s)[1] for s in set(found)}
-    used = {p for path in paths.values() for p in path if p != "unescape"}
+    used = {p for path in paths.values() for p in path}
     lost = REPLACEMENT in text
     if not used:
         return text, lost, not lost
     decode = sorted(p.partition(">")[0] for p in used if p.endswith("utf-8"))
-    byte_wise = {s for s, path in paths.items() if path and not any(p.endswith("utf-8") for p in path)}
+    byte_wise = {s for s, path in paths.items() if path and all(p.endswith(f">{MEANT[0]}") for p in path)}
     codec = None
     if byte_wise:
         odd = [s for s in set(found) if s in byte_wise or not paths[s] and cost(s) > 0]
         codec = min((c for c in CODECS if c not in (*MEANT, "iso8859_15")), key=lambda c: sum(cost(_as_bytes(s, c, MEANT[0])) for s in odd))
+    whole = not lost
 
     def mend(m: re.Match) -> str:
+        nonlocal whole
         s = m.group()
+        out = repair(s)[0]
         if codec and (s in byte_wise or not paths[s]):
             other = _as_bytes(s, codec, MEANT[0])
             if s in byte_wise or cost(other) < cost(s) or other.strip(",.;:()") in _SHORT:
-                return other
-        out = repair(s)[0]
-        for c in decode if not paths[s] else ():
-            out = _as_utf8(out, c)
+                out = other
+        if out == s:
+            for c in decode:
+                out = _as_utf8(out, c)
+        if not sound(out):
+            whole = False
+            return s
         return out
 
-    out = _STRETCH.sub(mend, text)
-    return out, True, not lost and all(cost(m.group()) < 0.5 for m in _STRETCH.finditer(out))
+    return _STRETCH.sub(mend, text), True, whole
 
 
 def suspects(text: Column) -> Column:

@@ -229,6 +229,26 @@ def test_double_partial_and_lost():
     assert garble.restore("Ren�ncia")[1:] == (True, False)
 
 
+def test_any_depth_and_escapes_alone():
+    text = "Reunião de acionistas"
+    for depth in range(1, 6):
+        bad = text
+        for _ in range(depth):
+            bad = bad.encode().decode("latin-1")
+        assert garble.restore(bad) == (text, True, True)
+    assert garble.restore("S&atilde;o Paulo e S\\u00e3o Jos&#233;") == ("São Paulo e São José", True, True)
+    for t in ("Banco &amp; Cia &lt;b&gt;", "R&D; x", "C:\\users\\u12", "&#10; a"):
+        assert garble.restore(t) == (t, False, True)
+
+
+def test_other_alphabets_and_halves():
+    assert garble.restore("Привет".encode("cp1251").decode("latin-1")) == ("Привет", True, True)
+    assert garble.restore("Łódź i żółć".encode().decode("cp1250", "ignore"))[1]
+    assert garble.restore("Gdańsk".encode().decode("cp1250")) == ("Gdańsk", True, True)
+    half = "Ren\ufffdncia"
+    assert garble.restore(f"{half} e atÃ© hoje") == (f"{half} e até hoje", True, False)
+
+
 def test_garbled_rows_of_both_tables(spark):
     ipe = spark.createDataFrame([(1, "atÃ© hoje"), (2, "até"), (3, None), (4, "")], "ipe_id long, assunto string")
     docs = spark.createDataFrame([(7, "x" * 50_000 + " papÃ©is", 1), (8, "ok", 1)], "doc_id long, text string, row_id int")
