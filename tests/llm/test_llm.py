@@ -311,6 +311,44 @@ def test_held_out_accuracy(spark):
     assert abuse.toxic_documents(df, labels.limit(0)).count() == 0 and abuse.toxic_documents(df.limit(0), labels).count() == 0
 
 
+def test_equal_examples_are_one_neighbour():
+    """A passage that many calm and some toxic documents have is marked by their share, not by the first of them."""
+    line, insult = np.array([1, 2, 3, 4, 5]), np.array([6, 7, 8])
+    examples = abuse.Examples()
+    for owner in range(150):
+        examples.add(line, int(owner < 12), owner)
+    for owner in (200, 201):
+        examples.add(insult, 1, owner)
+    judge = abuse.Judge(examples, abuse.Weights.of(1_000, np.array([150.0] * 5 + [2.0] * 3)))
+    ids, first, end = np.concatenate([line, insult, insult]), np.array([0, 5, 8]), np.array([5, 8, 11])
+    raw, near = judge.scores(ids, first, end, np.array([999, 999, 200]))
+    assert raw[0] < 0.1 and raw[1] > 0.5 and raw[2] == raw[1] and (near >= 0).all()
+    kept = abuse._edited(examples, judge.weights)
+    assert [o for m, o in zip(kept.marks, kept.owners, strict=True) if m] == [200, 201]
+    examples.add(np.array([9, 10, 11]), 1, 300)
+    lone = abuse.Judge(examples, abuse.Weights.of(1_000, np.array([150.0] * 5 + [2.0] * 3 + [1.0] * 3)))
+    assert lone.scores(np.array([9, 10, 11]), np.array([0]), np.array([3]), np.array([300]))[0][0] == 0  # nobody else has it
+
+
+def test_examples_of_mistaken_marks_are_refused(spark):
+    """A calm text marked toxic brings in the calm texts of its company; a single true example brings in the insults."""
+    found = {"good": (40, 14, 14, 0.9), "lone": (4, 0, 0, 0.8), "mistake": (60, 2, 0, 0.6), "tiny": (1, 0, 0, 0.5)}
+    assert abuse.refused_examples(found, (10_000, 600, 15)) == {"mistake"}
+    assert abuse.refused_examples(found, (10_000, 3_500, 3_500)) == set()  # nor does a toxic mark ever refute
+    alike = {"good": (400, 140, 140, 0.9), "unmarked": (60, 0, 0, 0.6)}
+    assert abuse.refused_examples(alike, (10_000, 3_500, 80)) == set()  # toxic and other documents drawn alike tell nothing
+    assert abuse.refused_examples({}, (0, 0, 0)) == set()
+    insults = [t.format(w) for t in TOXIC for w in ("imbecil", "canalha", "parasita")]
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.sample(CALM, 3)) + ". " + insults[i % 9], 1) for i in range(120)]
+    rows += [(i, " ".join(rng.sample(CALM, 3)) + ". a tiraquim que ontem cresceu", 0) for i in range(120, 132)]
+    rows += [(i, " ".join(rng.sample(CALM, 3)), 0) for i in range(132, 4_000)]
+    marks = [(i, 1, None) for i in range(60)] + [(120, 1, None)] + [(i, 0, None) for i in range(160, 360)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int, reviewed_at string")
+    assert sorted(r.doc_id for r in abuse.toxic_documents(df, labels).collect()) == list(range(120))
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 10_000))
 def test_block_max_search_is_exact(seed):
